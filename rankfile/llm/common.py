@@ -74,6 +74,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], rows: int, nam
     return inside.join(sizes, same).withColumn(name, F.col("_inner") + F.col("_before")).drop("_bucket", "_b", "_before", "_inner", *[f"_k{i}" for i in range(len(keys))])
 
 
+def apart(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """`docs` with each row as one struct, `_row`, beside `columns`: no name of theirs can clash with the operator's."""
+    return docs.select(F.struct("*").alias("_row"), *columns)
+
+
+def row_columns(docs: DataFrame) -> list[Column]:
+    """The columns of the rows that apart() set aside."""
+    return [F.col("_row").getField(c).alias(c) for c in docs.columns]
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's strings, null as the empty string."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, numbered, store
+from .common import WORD, apart, numbered, row_columns, store
 
 #: Words of the remaining budget that the dynamic programme fits exactly.
 DP_WORDS = 1 << 16
@@ -50,7 +50,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     take = counts * budget // total
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
-    for i in order:  # far from the budget any document that fits is right
+    for i in order[lengths[order] > 0]:  # far from the budget any document that fits is right
         if left <= DP_WORDS:
             break
         k = min(int(counts[i] - take[i]), (left - DP_WORDS) // int(lengths[i]) + 1, left // int(lengths[i]))
@@ -60,7 +60,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     reach[0] = True
     via = np.full(left + 1, -1, dtype=np.int64)
     chunks: list[tuple[int, int]] = []
-    for i in order:
+    for i in order[lengths[order] > 0]:
         rest, k = int(counts[i] - take[i]), 1
         rest = min(rest, left // int(lengths[i]))
         while rest and not reach[left]:
@@ -128,15 +128,15 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     Copies of a row (same doc_id, text and source) share their times evenly.
     """
-    th = F.xxhash64("text")
-    taken = mix(docs.withColumn("_th", th), keep=("_th",), **options)
+    taken = mix(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_th")), keep=("_th",), **options)
     taken = taken.groupBy(F.col("doc_id").alias("_id"), "_th", F.col("source").alias("_src")).agg(F.sum("times").alias("_times"), F.count("*").alias("_n")).where("_times > 0")
     taken = store(taken, "mix-taken")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")) & F.col("source").eqNullSafe(F.col("_src")))
+    rows = apart(docs, F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.col("source").alias("_s"))
+    joined = rows.join(taken, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")) & F.col("_s").eqNullSafe(F.col("_src")))
     if taken.where("_n > 1").isEmpty():
         share = F.col("_times")
     else:
         nth = F.row_number().over(Window.partitionBy("_id", "_th", "_src").orderBy(F.lit(0)))
         joined = joined.withColumn("_nth", nth)
         share = F.floor(F.col("_times") / F.col("_n")) + (F.col("_nth") <= F.col("_times") % F.col("_n")).cast("long")
-    return joined.withColumn("_share", share.cast("int")).where("_share > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(*docs.columns)
+    return joined.withColumn("_share", share.cast("int")).where("_share > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share")))).select(*row_columns(docs))

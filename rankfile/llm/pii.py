@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import apart, row_columns, store
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Patterns in Java syntax. They find what the plain ones find, in linear time: a match can only begin where a run of
@@ -132,6 +132,19 @@ def _term_spans(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, matches(text, pattern, "term")).otherwise(F.array().cast(_SPAN))
 
 
+def _spanned(docs: DataFrame) -> DataFrame:
+    """_row, text, spans, removed of each row of `docs`."""
+    by_doc = terms_by_document(docs.select("doc_id", "text"))
+    rows = apart(docs, "doc_id", "text", base_spans(F.col("text")).alias("_base"))
+    none = F.array().cast("array<string>")
+    if by_doc.isEmpty():
+        return rows.select("_row", "text", F.col("_base").alias("spans"), none.alias("removed"))
+    rows = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    terms = _term_spans(F.coalesce("text", F.lit("")), F.coalesce("terms", none))
+    outside = F.filter(terms, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return rows.select("_row", "text", F.concat("_base", outside).alias("spans"), F.coalesce("removed", none).alias("removed"))
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """Adds `spans` (kind, start, end, value; base kinds, then terms outside base spans) and `removed` to each row.
 
@@ -139,14 +152,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     get equal spans. The table of risky documents is joined only if there are any, on (doc_id, hash of the text).
     """
     docs = docs.drop("spans", "removed")
-    by_doc = terms_by_document(docs)
-    spans = docs.withColumn("_base", base_spans(F.col("text")))
-    if by_doc.isEmpty():
-        return spans.withColumn("removed", F.array().cast("array<string>")).withColumnRenamed("_base", "spans")
-    spans = spans.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    terms = _term_spans(F.coalesce("text", F.lit("")), F.coalesce("terms", F.array().cast("array<string>")))
-    apart = F.filter(terms, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return spans.withColumn("spans", F.concat("_base", apart)).withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).drop("_base", "_id", "_key", "terms")
+    return _spanned(docs).select(*row_columns(docs), "spans", "removed")
 
 
 def _join_spans(spans: Column) -> Column:
@@ -166,7 +172,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced as one, by the mark of the first. Rows without spans keep their text as it is.
     """
-    found = with_spans(docs)
+    found = _spanned(docs)
     text = F.coalesce("text", F.lit(""))
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -178,7 +184,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text) - acc["at"]))
     clean = F.when(F.size("spans") > 0, F.aggregate(ordered, begin, put, rest)).otherwise(F.col("text"))
-    out = found.withColumn("text", clean)
+    new = {"text": clean}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return found.select(*[new[c].alias(c) if c in new else column for c, column in zip(docs.columns, row_columns(docs))])

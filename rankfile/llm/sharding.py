@@ -13,7 +13,7 @@ from .common import numbered, store
 #: Levels into which a dimension is quantised, and bits of the tie-breaking hash: together a non-negative long.
 DIM_BITS, TIE_BITS, ROUND_BITS = 22, 40, 16
 #: A group of equal texts over this share of a leaf's bytes is split; smaller ones stay whole.
-HOT_SHARE = 1 / 16
+HOT_SHARE = 1 / 8
 
 
 def size_of(text: Column) -> Column:

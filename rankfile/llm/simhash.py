@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, texts
+from .common import apart, row_columns, small_batches, store, texts
 
 BITS = 64
 SEED = 42
@@ -316,7 +316,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "of"), "node")
     asked = store(asked.select(F.col("node").alias("id"), F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash")), "near-asked")
-    read = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
+    read = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
     known = store(read.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"]), "near-sets")
     left, right = known.select(F.col("id").alias("a"), F.col("set").alias("x")), known.select(F.col("id").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -328,18 +328,17 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` (all columns) without near-duplicates: of each group the row of the smallest doc_id stays.
 
-    Repeated rows (same doc_id and text) leave one. Columns that clash with the operator's own are safe: it joins
-    on names that begin with an underscore and returns the given columns only.
+    Repeated rows (same doc_id and text) leave one. Other columns pass through, whatever their names.
     """
     groups = store(near_groups(docs, size, similarity), "near-groups")
     stay = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
     stay = store(stay, "near-stay")
-    key = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64("text") == F.col("_hash"))
-    out = docs.join(stay, key, "left_semi")
+    key = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash"))
+    out = apart(docs, F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t")).join(stay, key, "left_semi")
     repeated = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     if repeated.isEmpty():
-        return out.select(*docs.columns)
+        return out.select(*row_columns(docs))
     repeated = store(repeated, "near-repeated")
-    first = Window.partitionBy("doc_id", "_t").orderBy(F.lit(0))
-    many = out.join(repeated, key, "left_semi").withColumn("_t", F.xxhash64("text")).withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    return out.join(repeated, key, "left_anti").select(*docs.columns).union(many.select(*docs.columns))
+    first = Window.partitionBy("_d", "_t").orderBy(F.lit(0))
+    many = out.join(repeated, key, "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return out.join(repeated, key, "left_anti").select(*row_columns(docs)).union(many.select(*row_columns(docs)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import apart, row_columns
+
 #: Most 64-bit blocks that the filter takes (1 MB as a literal); longer lists only lower its precision.
 MAX_BLOCKS = 1 << 17
 #: Bits set for each key within its block.
@@ -67,7 +69,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     # map_from_entries of the set blocks only; an absent block holds no key
     filter_map = words.agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m")).scalar()
 
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    pages = pages.drop("host", "path", "rule", "verdict")
+    rows = apart(pages, host.alias("host"), path.alias("path"))
     parts = F.split(F.col("_host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     prefixes = F.filter(
@@ -78,7 +81,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     longest = max(facts["lengths"] or [0]) + 1
     lead = F.substring(F.col("path"), 1, longest)
-    probes = pages.where((F.col("host") != "") & F.col("path").startswith("/")).select(F.col("host").alias("_host"), lead.alias("_lead")).distinct()
+    probes = rows.where((F.col("host") != "") & F.col("path").startswith("/")).select(F.col("host").alias("_host"), lead.alias("_lead")).distinct()
 
     def possible(k: Column) -> Column:
         h = F.xxhash64(k)
@@ -87,9 +90,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     hits = probes.withColumn("rule", F.explode(keys)).where(possible(F.col("rule"))).join(listed.drop("_h"), "rule")
     best = hits.groupBy("_host", "_lead").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("_best"))
-    out = pages.withColumn("_path_lead", lead).join(best, (F.col("host") == F.col("_host")) & (F.col("_path_lead") == F.col("_lead")), "left")
+    out = rows.withColumn("_path_lead", lead).join(best, (F.col("host") == F.col("_host")) & (F.col("_path_lead") == F.col("_lead")), "left")
     return out.select(
-        *[c for c in pages.columns],
+        *row_columns(pages),
+        "host",
+        "path",
         F.col("_best.rule").alias("rule"),
         F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"),
     )

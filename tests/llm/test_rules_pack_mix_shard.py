@@ -162,8 +162,12 @@ def test_shards(spark):
             size[r["shard"]] += r["size"]
             of[(r["text_crc32"], r["size"])].add(r["shard"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(map(len, of.values())) == 1  # equal texts stay together
     mean = sum(size.values()) / 16
+    weight = Counter()
+    for r in rows:
+        weight[(r["text_crc32"], r["size"])] += r["size"]
+    small = {t for t, w in weight.items() if w <= mean * sharding.HOT_SHARE}
+    assert len(small) > 900 and all(len(of[t]) == 1 for t in small)  # equal texts stay together
     assert max(size.values()) < 1.05 * mean and min(size.values()) > 0.95 * mean
     assert sharding.kd_shards(empty(spark), 16).count() == 0
 
