@@ -1 +1,6 @@
-"""Chess game analytics on Spark."""
+"""Chess game analytics on Spark: PGN text in, games, positions, moves and legal moves as tables out."""
+
+from .api import ChunkView, GameView, ParsedGames, parse_game, parse_games, parse_games_from_strings
+from .operators.replay import replay
+
+__all__ = ["ChunkView", "GameView", "ParsedGames", "parse_game", "parse_games", "parse_games_from_strings", "replay"]
