@@ -96,7 +96,7 @@ def outcomes_of_openings(spark, sf_dir):
 
 def legal_moves_of_openings(spark, sf_dir):
     """Of the first two positions; after one pawn move Black has 20 replies, whatever it was."""
-    texts = opening_texts(spark, sf_dir).where("o_orderkey % 16 = 0")
+    texts = opening_texts(spark, sf_dir)
     legal = legal_moves_table(replay(texts, legal_moves=True, status=False), key="o_orderkey").where("ply < 2")
     return legal.groupBy("o_orderkey", F.col("ply").cast("long").alias("ply")).agg(F.count("*").alias("n"), F.sum("from_sq").alias("from_sum"), F.sum("to_sq").alias("to_sum"), F.max("promotion").cast("long").alias("promotion"))
 
@@ -134,7 +134,7 @@ def invariants_of_golden_games(spark, sf_dir):
 
 
 def annotations_in_games(spark, sf_dir):
-    g = replay(golden_texts(spark, sf_dir).where("k = 8"), positions=False, status=False, comments=True)
+    g = replay(golden_texts(spark, sf_dir), positions=False, status=False, comments=True)
     m = g.select("o_orderkey", F.posexplode("moves").alias("ply", "m"))
     return m.select("o_orderkey", F.col("ply").cast("long").alias("ply"), F.round(F.col("m.eval").cast("double"), 4).alias("eval"), F.col("m.clock").cast("double").alias("clock"), F.col("m.comment").alias("comment"))
 
@@ -282,8 +282,8 @@ UNION ALL SELECT o_orderkey, CAST(ply + 1 AS BIGINT), CAST(CASE WHEN d = 1 THEN
     "l8_a6_outcomes": (outcomes_of_openings, f"WITH {_OPEN} SELECT outcome, count(*) AS games, CAST(2 * count(*) AS BIGINT) AS moves FROM o GROUP BY outcome"),
     "g1_g3_legal_moves": (
         legal_moves_of_openings,
-        f"""WITH {_OPEN} SELECT o_orderkey, CAST(0 AS BIGINT) AS ply, CAST(20 AS BIGINT) AS n, CAST(2 * (8+9+10+11+12+13+14+15) + 2 * (1 + 6) AS BIGINT) AS from_sum, CAST(16+17+18+19+20+21+22+23+24+25+26+27+28+29+30+31 + 16+18+21+23 AS BIGINT) AS to_sum, CAST(-1 AS BIGINT) AS promotion FROM o WHERE o_orderkey % 16 = 0
-UNION ALL SELECT o_orderkey, CAST(1 AS BIGINT), CAST(20 AS BIGINT), CAST(2 * (48+49+50+51+52+53+54+55) + 2 * (57 + 62) AS BIGINT), CAST(32+33+34+35+36+37+38+39+40+41+42+43+44+45+46+47 + 40+42+45+47 AS BIGINT), CAST(-1 AS BIGINT) FROM o WHERE o_orderkey % 16 = 0""",
+        f"""WITH {_OPEN} SELECT o_orderkey, CAST(0 AS BIGINT) AS ply, CAST(20 AS BIGINT) AS n, CAST(2 * (8+9+10+11+12+13+14+15) + 2 * (1 + 6) AS BIGINT) AS from_sum, CAST(16+17+18+19+20+21+22+23+24+25+26+27+28+29+30+31 + 16+18+21+23 AS BIGINT) AS to_sum, CAST(-1 AS BIGINT) AS promotion FROM o
+UNION ALL SELECT o_orderkey, CAST(1 AS BIGINT), CAST(20 AS BIGINT), CAST(2 * (48+49+50+51+52+53+54+55) + 2 * (57 + 62) AS BIGINT), CAST(32+33+34+35+36+37+38+39+40+41+42+43+44+45+46+47 + 40+42+45+47 AS BIGINT), CAST(-1 AS BIGINT) FROM o""",
     ),
     "a1_a5_r1_r6_status": (status_of_golden_games, _FLAGS),
     "r2_r6_errors": (errors_of_golden_games, f"SELECT CAST(g.k AS BIGINT) AS k, count(*) AS n, true AS told FROM orders JOIN {_FACTS} ON o_orderkey % {len(GOLDEN)} = g.k WHERE NOT is_valid GROUP BY g.k"),
@@ -291,7 +291,9 @@ UNION ALL SELECT o_orderkey, CAST(1 AS BIGINT), CAST(20 AS BIGINT), CAST(2 * (48
     "r13_invariants": (invariants_of_golden_games, "SELECT CAST(0 AS BIGINT) AS bad_counts, CAST(0 AS BIGINT) AS bad_turns, CAST(0 AS BIGINT) AS bad_mates, CAST(0 AS BIGINT) AS unmoved"),
     "c8_c11_l6_l7_comments": (
         annotations_in_games,
-        f"SELECT o_orderkey, CAST(ply AS BIGINT) AS ply, CAST(eval AS DOUBLE) AS eval, CAST(clock AS DOUBLE) AS clock, comment FROM orders CROSS JOIN (VALUES (0, 0.3, 180, ''), (1, NULL, NULL, NULL), (2, NULL, NULL, 'good [Mate 3]'), (3, NULL, NULL, NULL), (4, NULL, NULL, ''), (5, NULL, NULL, NULL), (6, NULL, NULL, NULL)) t(ply, eval, clock, comment) WHERE o_orderkey % {len(GOLDEN)} = 8",
+        f"""WITH r AS (SELECT o_orderkey, g.k, unnest(range(num_moves)) AS ply FROM orders JOIN {_FACTS} ON o_orderkey % {len(GOLDEN)} = g.k)
+SELECT o_orderkey, CAST(r.ply AS BIGINT) AS ply, CAST(eval AS DOUBLE) AS eval, CAST(clock AS DOUBLE) AS clock, comment
+FROM r LEFT JOIN (VALUES (8, 0, 0.3, 180, ''), (8, 2, NULL, NULL, 'good [Mate 3]'), (8, 4, NULL, NULL, '')) t(k, ply, eval, clock, comment) ON r.k = t.k AND r.ply = t.ply""",
     ),
     "c1_c12_annotations": (annotation_functions, _COMMENT_SQL),
     "v12_uci": (uci_function, f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {_NAME.format('(l_orderkey % 64)')} || {_NAME.format('(l_partkey % 64)')} || CASE WHEN l_suppkey % 7 < 2 THEN '' ELSE substr('nbrq', CAST(l_suppkey % 4 AS INTEGER) + 1, 1) END AS uci FROM lineitem"),
