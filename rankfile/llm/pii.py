@@ -99,9 +99,8 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
     # of the lines with any entity at least so many hold the term: a bound on its risk before the corpus is read
     near = lines.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = store(pairs.join(near, "term"), "pii-pairs")
-    schema = "entity string, term string, risk double"
     if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
+        return pairs.select("entity", "term", F.lit(0.0).alias("risk"))
     corpus = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n")).alias("line"))
     total = corpus.agg(F.count_distinct(F.xxhash64("line")).alias("n")).first()["n"]
     ic = F.log(F.lit(float(total)) / F.col("n_e"))

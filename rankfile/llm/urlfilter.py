@@ -36,7 +36,9 @@ def _mask(h: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "rule string, action string")
+    """Rules as a table, made of literals."""
+    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action")) for rule, action in rules])
+    return spark.range(1).select(F.inline(rows)) if rules else spark.range(0).select(F.lit("").alias("rule"), F.lit("").alias("action"))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:

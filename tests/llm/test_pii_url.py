@@ -93,8 +93,9 @@ def test_url_filter(spark):
     same(got.select("page_id", "host", "path", "rule", "verdict").collect(), [(r["page_id"], *brute_url(r["url"], rules)) for r in pages.collect()])
     real = table(spark, "pages").select("page_id", "url")
     many = queries.RULES + [(f"h{i}.org/p{i}/", "block") for i in range(3000)]
-    got = urlfilter.url_filter(real, urlfilter.rules_frame(spark, many))
+    listed = spark.createDataFrame(many, "rule string, action string")
+    got = urlfilter.url_filter(real, listed)
     same(got.select("page_id", "host", "path", "rule", "verdict").collect(), [(r["page_id"], *brute_url(r["url"], many)) for r in real.collect()])
-    assert urlfilter.url_filter(real.where("false"), urlfilter.rules_frame(spark, many)).count() == 0
+    assert urlfilter.url_filter(real.where("false"), listed).count() == 0
     none = urlfilter.url_filter(real, spark.createDataFrame([], "rule string, action string"))
     assert none.where("rule IS NULL AND verdict = 'allow'").count() == real.count()
