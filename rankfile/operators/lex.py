@@ -14,19 +14,24 @@ _PART = re.compile(r"\{([^}]*)(\}?)|;[^\n]*|[()]|\n(?=[ \t\r]*\n|\[)|[^\s(){};]+
 
 #: Values of a token that is no move.
 SKIP, OUTCOME, ILLEGAL = -1, -2, -3
-_KNOWN: dict[str, int] = {}
 _KNOWN_LIMIT = 200_000
 
 
 @dataclass
 class Game:
     tags: list[tuple[str, str]]
-    sans: list[str] = field(default_factory=list)
+    #: Tokens of the main line, among them the moves (codes of the others are not kept).
+    tokens: list[str] = field(default_factory=list)
     codes: list[int] = field(default_factory=list)
     #: (moves written before it, text) of each comment of the main line.
     comments: list[tuple[int, str]] = field(default_factory=list)
     outcome: str | None = None
 
+    @property
+    def sans(self) -> list[str]:
+        """The moves as written."""
+        return [t for t in self.tokens if code_of(t) != SKIP][: len(self.codes)]
+
     def first(self, key: str) -> str | None:
         """The first tag of that name in any case."""
         return next((v for k, v in self.tags if k.lower() == key), None)
@@ -61,14 +66,18 @@ def _code(token: str) -> int:
     return pack(_ROLES.index(role) if role else 1, "abcdefgh".index(tf) + 8 * (int(tr) - 1), "abcdefgh".index(f) if f else 8, int(r) - 1 if r else 8, promotion, bool(x))
 
 
-def code_of(token: str) -> int:
-    """A move packed into an int (0 or more), or what else the token is. Known tokens are kept up to a limit."""
-    known = _KNOWN.get(token)
-    if known is None:
-        if len(_KNOWN) >= _KNOWN_LIMIT:
-            _KNOWN.clear()
-        known = _KNOWN[token] = _code(token)
-    return known
+class _Known(dict):
+    """Codes of the tokens met so far, up to a limit."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= _KNOWN_LIMIT:
+            self.clear()
+        code = self[token] = _code(token)
+        return code
+
+
+#: A move packed into an int (0 or more), or what else the token is.
+code_of = _Known().__getitem__
 
 
 def read_tags(text: str) -> tuple[list[tuple[str, str]], int]:
@@ -89,15 +98,13 @@ def read_game(text: str) -> Game | None:
         return None
     game = Game(tags)
     if not any(c in body for c in "{(;") and "\n\n" not in body and "\n[" not in body and "\r" not in body:
-        tokens = body.split()
-        codes = list(map(code_of, tokens))
+        game.tokens = body.split()
+        codes = list(map(code_of, game.tokens))
         if OUTCOME in codes:
             end = codes.index(OUTCOME)
-            game.outcome = OUTCOMES[tokens[end]]
+            game.outcome = OUTCOMES[game.tokens[end]]
             del codes[end:]
-        keep = [k for k, c in enumerate(codes) if c != SKIP]
-        game.sans = [tokens[k] for k in keep]
-        game.codes = [codes[k] for k in keep]
+        game.codes = [c for c in codes if c != SKIP]
         return game
     depth = 0
     for m in _PART.finditer(body):
@@ -122,7 +129,7 @@ def read_game(text: str) -> Game | None:
                 game.outcome = OUTCOMES[part]
                 break
             if code != SKIP:
-                game.sans.append(part)
+                game.tokens.append(part)
                 game.codes.append(code)
     return game
 
