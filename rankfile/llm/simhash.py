@@ -189,12 +189,13 @@ def classes(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null and wordless texts have fingerprint zero and link like any other. Copies share a fingerprint and so are one
-    node with their smallest doc_id; only distinct fingerprints are indexed. Repeated rows stay rows. An empty table
-    gives no rows; columns other than doc_id and text are not read.
+    node with their smallest doc_id; only distinct fingerprints are indexed. Repeated rows stay rows. A null doc_id is
+    no node: its row has the component of its fingerprint's other rows, else null. An empty table gives no rows;
+    columns other than doc_id and text are not read.
     """
     prints = store(fingerprints(docs, size), "fingerprints")
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    roots = components(store(fingerprint_links(distinct, distance), "raw-links"))
+    roots = components(store(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance), "raw-links"))
     of = distinct.join(roots, distinct.id == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -104,6 +104,8 @@ def test_simhash_classes(spark):
         roots = brute_roots([r["doc_id"] for r in rows], linked)
         same(simhash.classes(docs).collect(), [(r["doc_id"], f"{p:016x}", c) for r, p, c in zip(rows, prints, roots)])
     assert simhash.classes(empty(spark)).count() == 0
+    odd = simhash.classes(awkward(spark)).where("doc_id IS NULL").collect()
+    assert len(odd) == 1 and odd[0]["component_id"] is None
 
 
 @pytest.mark.parametrize("dense", [4, 48])
