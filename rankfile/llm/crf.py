@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import small_batches, store, texts
 from .langid import train_split
 
 #: Labelled documents (about) and lines of each that the model is fitted on.
@@ -158,8 +158,8 @@ def score_texts(batch: list[str], model: Crf) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf:
     """Fits the field on about `train_docs` labelled documents of the training split, half of them of either label,
-    chosen by a hash of doc_id, and the first `train_lines` lines of each. Documents are found by a join on the
-    sample's ids (at most about train_docs rows); line features are made on the executors."""
+    chosen by a hash of doc_id (2 * train_docs ids at the very most), and the first `train_lines` lines of each.
+    Documents are found by a broadcast join on the sample's ids; line features are made on the executors."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & train_split(F.col("doc_id")))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -168,6 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     rate = F.coalesce(*[F.when(F.col("quality") == q, min(1.0, train_docs / 2 / n)) for q, n in counts.items()])
     share = F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(share < rate).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["_id"])
+    # its size is bounded, so it may be broadcast; texts are never shuffled for the sample's sake
+    sample = F.broadcast(store(sample.orderBy(F.xxhash64("_id"), "_id").limit(2 * train_docs), "crf-sample"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
