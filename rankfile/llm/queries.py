@@ -17,7 +17,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("host_rate", F.round("host_rate", 9))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +71,32 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND k = 1
 """
 
 
+_OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+grams AS (SELECT rid, i, ws[i:i+2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again CROSS JOIN (VALUES (0), (1), (2)) s(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (SELECT w.rid, doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines ON w.rid = lines.rid LEFT JOIN covered ON w.rid = covered.rid),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source),
+s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(f) / sum(n) AS mean, count(*) AS k, sum(n * n) AS nn, sum(f * f / n) AS nrr FROM h),
+v AS (SELECT mean, (nrr - n * mean * mean - (k - 1) * mean * (1 - mean)) / nullif(n - nn / n, 0) AS between_hosts FROM s),
+p AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(1000, greatest(1, mean * (1 - mean) / between_hosts - 1)) ELSE 1000 END AS strength FROM v),
+r AS (SELECT source, (f + mean * strength) / (n + strength) AS rate FROM h CROSS JOIN p)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, round(rate, 9) AS host_rate, NOT base_failed AND (b.source IS NULL OR rate < 0.5) AS kept
+FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+"""
+
+
 def queries() -> dict:
     ops = (op1_language_id, op2_quality_rules, op3_packing, op4_pii, op5_sharding, op6_mixing, op7_ann, op8_url_filter, op9_quality_classifier, op10_simhash)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _OP8_SQL}
+    return {"op2_quality_rules": _OP2_SQL, "op8_url_filter": _OP8_SQL}
