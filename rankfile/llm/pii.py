@@ -18,8 +18,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
-#: Least letters of a term, least distinct lines it must share with an entity.
-TERM_CHARS, SUPPORT = 3, 3
+#: Least letters of a term, least distinct windows it must share with an entity, words of a window to either side.
+TERM_CHARS, SUPPORT, NEAR = 3, 3, 10
 #: PMI as a share of the entity's information content, from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.80, 0.95
 
@@ -81,23 +81,28 @@ def base_spans(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, term, risk) for terms that disclose a protected entity.
 
-    The unit of co-occurrence is the distinct line, so copies of a document are no evidence of their own. An entity is
-    the value of a base span; risk is PMI(entity, term) over the entity's information content, 1 where each line with
-    the term holds the entity. Only pairs in SUPPORT lines or more are weighed; a term's lines are counted over the
-    whole corpus. entities: doc_id, text, values (distinct base values of the text), for documents that have any.
+    The unit of co-occurrence is the distinct window: the NEAR words before and after an occurrence of the entity in
+    its line, other entities left out. Copies of a passage, near ones mostly too, are no evidence of their own. An
+    entity is the value of a base span; risk is PMI(entity, term) over the entity's information content, 1 where what
+    holds the term holds the entity. Only pairs in SUPPORT windows or more are weighed; a term's distinct lines are
+    counted over the whole corpus. entities: doc_id, text, values (distinct base values of the text), for documents
+    that have any.
     """
-    lower = lambda c: F.lower(c)
+    words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)), lambda t: F.length(t) >= TERM_CHARS)
+    last = lambda a: F.slice(a, F.greatest(F.size(a) - (NEAR - 1), F.lit(1)), F.lit(NEAR))
     lines = entities.select("values", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.select("line", F.filter("values", lambda v: F.contains(F.col("line"), v)).alias("values")).where(F.size("values") > 0)
-    lines = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.first("line").alias("line"), F.first("values").alias("values"))
-    # an entity's own parts are no terms
-    bare = F.aggregate("values", F.col("line"), lambda a, v: F.replace(a, v, F.lit(" ")))
-    lines = store(lines.select("h", "values", F.array_distinct(F.filter(F.regexp_extract_all(lower(bare), F.lit(TERM), F.lit(0)), lambda t: F.length(t) >= TERM_CHARS)).alias("terms")), "pii-lines")
-    held = lines.select("terms", F.explode("values").alias("entity"))
-    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = held.join(n_e, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    # of the lines with any entity at least so many hold the term: a bound on its risk before the corpus is read
-    near = lines.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    lines = lines.select(F.xxhash64("line").alias("h"), "line", F.filter("values", lambda v: F.contains(F.col("line"), v)).alias("values")).where(F.size("values") > 0)
+    held = lines.select("h", "line", "values", F.explode("values").alias("entity"))
+    bare = F.aggregate(F.filter("values", lambda v: v != F.col("entity")), F.col("line"), lambda a, v: F.replace(a, v, F.lit(" ")))
+    pieces = F.transform(F.split(bare, F.concat(F.lit(r"\Q"), F.col("entity"), F.lit(r"\E")), -1), words)
+    held = held.select("h", "entity", pieces.alias("pieces")).where(F.size("pieces") > 1)
+    around = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.array_distinct(F.concat(last(F.element_at("pieces", i)), F.slice(F.element_at("pieces", i + 1), 1, NEAR))))
+    held = held.select("h", "entity", F.explode(around).alias("terms"))
+    windows = store(held.groupBy("entity", F.xxhash64("terms").alias("w")).agg(F.min("h").alias("h"), F.first("terms").alias("terms")), "pii-windows")
+    n_e = windows.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    pairs = windows.join(n_e, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
+    # at least so many of the corpus's lines hold the term: a bound on its risk before the corpus is read
+    near = windows.select("h", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = store(pairs.join(near, "term"), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("risk"))
@@ -107,8 +112,8 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
     pmi = lambda n_t: F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * n_t))
     pairs = store(pairs.where((ic > 0) & (pmi(F.col("n_near")) / ic >= GENERALISE)), "pii-candidates")
     wanted = pairs.select("term").distinct()
-    words = corpus.select(F.xxhash64("line").alias("h"), F.explode(F.split(lower(F.col("line")), r"[^\p{L}\p{N}]+")).alias("term")).where(F.length("term") >= TERM_CHARS)
-    n_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    spelled = corpus.select(F.xxhash64("line").alias("h"), F.explode(F.split(F.lower("line"), r"[^\p{L}\p{N}]+")).alias("term")).where(F.length("term") >= TERM_CHARS)
+    n_t = spelled.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     return pairs.join(n_t, "term").select("entity", "term", F.least(F.lit(1.0), pmi(F.col("n_t")) / ic).alias("risk")).where(F.col("risk") >= GENERALISE)
 
 

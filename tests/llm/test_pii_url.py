@@ -50,7 +50,7 @@ def test_base_spans(spark):
 
 def test_terms_that_disclose_an_entity_go(spark):
     filler = [f"quiet line number {i} about nothing much" for i in range(60)]
-    rows = [(i, f"{filler[i]}\nWrite to Zebulon the clerk {i} at zeb@x.org today\n{filler[i + 20]}") for i in range(6)]
+    rows = [(i, f"{filler[i]}\nWrite to Zebulon the clerk name{i} at zeb@x.org today\n{filler[i + 20]}") for i in range(6)]
     rows += [(10 + i, f"the clerk said {filler[i]} today") for i in range(50)] + [(99, "Zebulon again, but no address"), (98, None), (97, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
