@@ -1,4 +1,4 @@
-"""Entry points over Spark: parse_games, parse_games_from_strings, parse_game, and views on their results."""
+"""Entry points: parse_games, parse_games_from_strings, parse_game (over Spark), view_game, and views on results."""
 
 from __future__ import annotations
 
@@ -296,11 +296,22 @@ def parse_games_from_strings(pgns: list[str], num_threads: int | None = None, st
     return _run(from_strings(spark, pgns), _parts(spark, num_threads, None), store_comments, store_legal_moves)
 
 
-def parse_game(pgn: str, store_comments: bool = False, store_legal_moves: bool = False) -> GameView:
-    """One game without Spark. Raises ValueError if the text holds none or breaks off."""
+def _checked(pgn: str):
     game = read_game(pgn)
     if game is None:
         raise ValueError("no game found in PGN")
-    row = pa.table(dict(columns([game], True, store_comments, store_legal_moves))).to_pylist()[0]
+    return game
+
+
+def parse_game(pgn: str, store_comments: bool = False, store_legal_moves: bool = False) -> ParsedGames:
+    """A result of one game. Raises ValueError if the text holds none or breaks off."""
+    _checked(pgn)
+    spark = _session()
+    return _run(from_strings(spark, [pgn]).coalesce(1), None, store_comments, store_legal_moves)
+
+
+def view_game(pgn: str, store_comments: bool = False, store_legal_moves: bool = False) -> GameView:
+    """The one game of a text, replayed here and now without Spark. Raises as parse_game() does."""
+    row = pa.table(dict(columns([_checked(pgn)], True, store_comments, store_legal_moves))).to_pylist()[0]
     row["headers"] = dict(row["headers"] or [])
     return GameView(row, store_comments)

@@ -72,11 +72,16 @@ def test_strings_empty_and_single(spark):
     empty = rankfile.parse_games_from_strings([])
     assert len(empty) == 0 and empty.num_moves == 0 and list(empty) == [] and len(empty.chunks) == 1 and empty.chunks[0].num_games == 0
     assert empty.position_to_game([0]).tolist() == [-1] and len(empty.chunks[0].legal_move_offsets) == 0
-    g = rankfile.parse_game("1. e4 {hi} 1-0", store_comments=True, store_legal_moves=True)
-    assert g.comments == ["hi"] and len(g.legal_moves) == 2 and rankfile.parse_game("1. e4 {hi}").comments == [] and rankfile.parse_game("*").legal_moves == []
+    one = rankfile.parse_game("1. e4 {hi} 1-0", store_comments=True, store_legal_moves=True)
+    assert len(one) == 1 and one.num_moves == 1
+    for g in (one[0], rankfile.view_game("1. e4 {hi} 1-0", store_comments=True, store_legal_moves=True)):
+        assert g.comments == ["hi"] and len(g.legal_moves) == 2 and g.outcome == "White" and g.moves_uci() == ["e2e4"]
+    assert rankfile.view_game("1. e4 {hi}").comments == [] and rankfile.view_game("*").legal_moves == []
     for bad in ("", "1. e4 {"):
         with pytest.raises(ValueError):
             rankfile.parse_game(bad)
+        with pytest.raises(ValueError):
+            rankfile.view_game(bad)
     with pytest.raises(ValueError, match="Unsupported array type"):
         rankfile.parse_games(pa.chunked_array([[1, 2]]))
     with pytest.raises(ValueError, match="Unsupported array type"):
