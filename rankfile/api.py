@@ -276,11 +276,13 @@ def _parts(spark: SparkSession, num_threads: int | None, chunk_multiplier: int |
 
 
 def _run(rows: DataFrame, parts: int | None, comments: bool, legal_moves: bool) -> ParsedGames:
-    """Splits (by ranges, so that chunks keep the order), replays and numbers; cached, as it is read many times."""
-    if parts is not None:
-        rows = rows.repartitionByRange(parts, "input_ordinal")
-    games = replay(rows, comments=comments, legal_moves=legal_moves).drop("movetext").cache()
-    return ParsedGames(numbered_games(games), comments, legal_moves)
+    """Counts moves (a pass that makes no boards), numbers the texts, deals them out by ranges of game_index, so that
+    partitions are contiguous chunks, and replays. Only texts are shuffled. The result is cached when first used."""
+    counts = replay(rows, positions=False, status=False).select("input_ordinal", "num_moves", "num_positions")
+    texts = numbered_games(rows, counts=counts)
+    texts = texts.repartitionByRange(parts, "game_index") if parts else texts.repartitionByRange("game_index")
+    games = replay(texts, comments=comments, legal_moves=legal_moves).drop("movetext").cache()
+    return ParsedGames(games, comments, legal_moves)
 
 
 def parse_games(data: DataFrame | pa.ChunkedArray | pa.Array, num_threads: int | None = None, chunk_multiplier: int | None = None, store_comments: bool = False, store_legal_moves: bool = False, column: str = "movetext") -> ParsedGames:
