@@ -153,19 +153,26 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     low = np.minimum(np.minimum.accumulate(np.vstack((np.zeros_like(gain[:1]), gain[:-1])), axis=0), 0)
     if (gain - low).max() <= switch / 2:
         return np.full(n, best)
-    back = np.empty(scores.shape, dtype=np.int32)
-    stay = np.arange(scores.shape[1])
-    v = scores[0].astype(np.float64)
-    for t in range(1, n):
-        top = v.argmax()
-        jump = v[top] - switch
-        moved = v < jump
-        back[t] = np.where(moved, top, stay)
-        v = np.maximum(v, jump) + scores[t]
+    # few languages and a short step: plain lists beat arrays
+    rows = scores.tolist()
+    v, langs = rows[0], range(len(rows[0]))
+    back: list[list[int] | None] = []
+    for row in rows[1:]:
+        top = max(v)
+        jump = top - switch
+        if min(v) >= jump:
+            back.append(None)  # all stay
+            v = [a + b for a, b in zip(v, row)]
+        else:
+            at = v.index(top)
+            back.append([k if v[k] >= jump else at for k in langs])
+            v = [(a if a >= jump else jump) + b for a, b in zip(v, row)]
     path = np.empty(n, dtype=np.int64)
-    path[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    state = path[-1] = v.index(max(v))
+    for t in range(n - 2, -1, -1):
+        if back[t] is not None:
+            state = back[t][state]
+        path[t] = state
     return path
 
 
@@ -190,6 +197,8 @@ def label(text: str, model: Model, switch: float = SWITCH) -> tuple[str, float,
     turn = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
     spans = [(int(start[a]), int(end[b - 1]), model.langs[path[a]]) for a, b in zip(turn, np.append(turn[1:], len(path)))]
     top = int(letters.argmax())
+    if len(spans) > 2 and path[0] == path[-1]:  # a text that goes back to the language it began in only quotes the other
+        top = int(path[0])
     return model.langs[top], float(letters[top] / letters.sum()), spans
 
 
@@ -200,7 +209,8 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
     """One row per document: doc_id, held_out, lang_pred, score, spans.
 
     Without a model one is fitted on the rows that train_split() allows. Nothing but the text enters a prediction.
-    lang_pred has the most letters in its spans (ties: the first by name), score is its share of the letters; null
+    lang_pred has the most letters in its spans (ties: the first by name), but a text of three spans or more that ends
+    in the language it began in has that one, what is between is a quotation; score is its share of the letters; null
     texts and texts without letters are `und` with score 0 and no spans, as is everything if no row has a label.
     Repeated rows get equal results; an empty table gives no rows; other columns are not read. Each task holds one
     batch and the model (PLACES floats a language); nothing is shuffled.

@@ -206,9 +206,13 @@ def classes(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
 #: both words' ends. Of 7 segments of 18 bits one differs by a bit at most for 99.6 % of pairs whose words differ so
 #: much that their five-word shingles have similarity 0.8 (about one bit in twelve), and for nearly all pairs above.
 WIDE = [(0, 0, 18), (0, 18, 18), (0, 36, 18), (1, 0, 18), (1, 18, 18), (1, 36, 18)]
-#: Differing bits in the other word up to which a pair is looked at, and up to which copies in a dense run follow
-#: their leader.
-FAR, CLOSE = 15, 3
+#: Differing bits of a proposed pair at most: in the other word, and in the fingerprint of `size`-word shingles. At
+#: similarity 0.8 they are about 5 and 10; a pair beyond either limit is one in several hundred.
+FAR, FAR_SHINGLES = 13, 18
+#: The second limit between groups of a dense signature, which have many members to meet by.
+FAR_GROUPS = 13
+#: Partners that a node of a dense signature is given in the first round.
+NEAREST = 3
 
 
 def word_prints(words: list[bytes]) -> tuple[int, int]:
@@ -232,40 +236,78 @@ def wide_signatures(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, checks
 
 
-def candidates_of_run(ids: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a dense run: each leader with all it is near to; what is closest to a leader does not lead itself."""
-    left = np.arange(len(ids))
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    while len(left):
-        d = popcount(checks[left[1:]] ^ checks[left[0]])
-        hit = left[1:][d <= FAR]
-        a.append(np.full(len(hit), ids[left[0]]))
-        b.append(ids[hit])
-        left = left[1:][d > CLOSE]
-    return np.concatenate(a), np.concatenate(b)
+def _distances(checks: np.ndarray, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Shingle distances of the rows `at` to all rows; 255 for pairs beyond a limit."""
+    d = popcount(prints[at, None] ^ prints[None])
+    far = (popcount(checks[at, None] ^ checks[None]) > FAR) | (d > FAR_SHINGLES)
+    return np.where(far, np.uint8(255), d)
+
+
+def nearest_of_run(checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row of a dense run with its NEAREST rows, in blocks."""
+    n = len(checks)
+    out: list[tuple[np.ndarray, ...]] = []
+    for k in range(0, n, 256):
+        at = np.arange(k, min(n, k + 256))
+        d = _distances(checks, prints, at)
+        d[np.arange(len(at)), at] = 255
+        best = np.argpartition(d, NEAREST, axis=1)[:, :NEAREST]
+        value = np.take_along_axis(d, best, axis=1)
+        x, y = np.nonzero(value < 255)
+        out.append((at[x], best[x, y], value[x, y]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def nearest_between(groups: np.ndarray, checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each two groups of a run the nearest pair of rows, if any is within the limits."""
+    order = np.argsort(groups, kind="stable")
+    names, starts, sizes = np.unique(groups[order], return_index=True, return_counts=True)
+    largest = names[sizes.argmax()]
+    out: list[tuple[int, int, int]] = []
+    for name, first, size in zip(names, starts, sizes):
+        if name == largest:
+            continue
+        own = order[first : first + size]
+        least = np.full(len(groups), 255, dtype=np.uint8)
+        by = np.zeros(len(groups), dtype=np.int64)
+        for k in range(0, size, 256):
+            d = _distances(checks, prints, own[k : k + 256])
+            low, row = d.min(axis=0), own[k : k + 256][d.argmin(axis=0)]
+            better = low < least
+            least[better], by[better] = low[better], row[better]
+        least[own] = 255
+        near = np.flatnonzero(least <= FAR_GROUPS)
+        near = near[np.argsort(least[near], kind="stable")]
+        _, one = np.unique(groups[near], return_index=True)
+        out += [(int(by[j]), int(j), int(least[j])) for j in near[one]]
+    return tuple(np.asarray([o[k] for o in out], dtype=np.int64) for k in range(3))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return starts, np.diff(np.append(starts, len(keys)))
 
 
-def candidates_in_order(keys: np.ndarray, ids: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates_in_order(keys: np.ndarray, ids: np.ndarray, checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one key and their shingle distance; a member of a dense run is also paired with itself."""
     order = np.lexsort((ids, keys))
-    keys, ids, checks = keys[order], ids[order], checks[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.append(starts, len(keys)))
+    keys, ids, checks, prints = keys[order], ids[order], checks[order], prints[order]
+    starts, sizes = _runs(keys)
     run = np.repeat(sizes, sizes)
-    a, b = [ids[:0]], [ids[:0]]
+    out = [(ids[:0], ids[:0], ids[:0])]
     for step in range(1, DENSE):
         at = np.flatnonzero((run[:-step] <= DENSE) & (run[:-step] > step)) if len(keys) > step else ids[:0]
         if not len(at):
             break
         at = at[keys[at] == keys[at + step]]
-        at = at[popcount(checks[at] ^ checks[at + step]) <= FAR]
-        a.append(ids[at])
-        b.append(ids[at + step])
+        d = popcount(prints[at] ^ prints[at + step]).astype(np.int64)
+        near = (d <= FAR_SHINGLES) & (popcount(checks[at] ^ checks[at + step]) <= FAR)
+        out.append((ids[at[near]], ids[at[near] + step], d[near]))
     for first, n in zip(starts[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist()):
-        x, y = candidates_of_run(ids[first : first + n], checks[first : first + n])
-        a.append(x)
-        b.append(y)
-    return np.concatenate(a), np.concatenate(b)
+        own = slice(first, first + n)
+        x, y, d = nearest_of_run(checks[own], prints[own])
+        out += [(ids[own][x], ids[own][y], d.astype(np.int64)), (ids[own], ids[own], np.zeros(n, dtype=np.int64))]
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
 def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -273,56 +315,99 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     A node is a distinct sequence of lowered words (copies are one node). Deletion-variant signatures of its word
     fingerprints propose pairs; a pair is a link if the Jaccard similarity of the sets of `size`-word shingles is at
-    least `similarity`, computed from whole texts. In a signature that more than DENSE nodes share, nodes pair with
-    leaders instead of all others, so a large group costs rows in proportion to its members. Wordless and null texts
-    are one node and copies of each other. text_hash is Spark's xxhash64 of the text (null: of nothing).
+    least `similarity`, computed from whole texts. Three rounds: first each node is tested with its nearest partner;
+    then all proposed pairs whose nodes are not connected yet. In a signature that more than DENSE nodes share, a node
+    proposes its NEAREST partners only; for these signatures a third round pairs the groups found so far, each two by
+    their nearest members. So a large group costs rows in proportion to its members. Wordless and null texts are
+    one node and copies of each other. text_hash is Spark's xxhash64 of the text (null: of nothing).
     """
     small_batches(docs.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, p = [], np.empty((batch.num_rows, 2), dtype=np.uint64)
+            node, p = [], np.empty((3, batch.num_rows), dtype=np.uint64)
             for k, text in enumerate(texts(batch, "text")):
                 words = lowered_words(text)
                 node.append(xxhash.xxh64_intdigest(b" ".join(words)))
-                p[k] = word_prints(words)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.asarray(node, dtype=np.uint64).view(np.int64)), pa.array(p[:, 0].view(np.int64)), pa.array(p[:, 1].view(np.int64))], names=["doc_id", "text_hash", "node", "p0", "p1"])
+                p[:, k] = *word_prints(words), majority(hash_shingles(words, size))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.asarray(node, dtype=np.uint64).view(np.int64)), *(pa.array(x.view(np.int64)) for x in p)], names=["doc_id", "text_hash", "node", "p0", "p1", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(prints, "doc_id long, text_hash long, node long, p0 long, p1 long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(prints, "doc_id long, text_hash long, node long, p0 long, p1 long, s long")
     rows = store(rows, "near-rows")
     # one text stands for each node
-    nodes = store(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("p0").alias("p0"), F.first("p1").alias("p1")), "near-nodes")
+    nodes = store(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), *[F.first(c).alias(c) for c in ("p0", "p1", "s")]), "near-nodes")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1).view(np.uint64)
             keys, checks = wide_signatures(p)
-            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(checks.ravel().view(np.int64))], names=["key", "id", "check"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            key, i, check = (pa.chunked_array([b.column(k) for b in held]).to_numpy() for k in range(3))
-            a, b = candidates_in_order(key, i, check.view(np.uint64))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    keys = nodes.select("node", "p0", "p1").mapInArrow(explode, "key long, id long, check long")
-    pairs = store(keys.repartition("key").mapInArrow(meet, "a long, b long").where("a <> b").distinct(), "near-pairs")
+            same = [pa.array(np.repeat(batch.column(k).to_numpy(), keys.shape[1])) for k in (0, 3, 4)]
+            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), same[0], pa.array(checks.ravel().view(np.int64)), *same[1:]], names=["key", "id", "check", "s", "g"])
+
+    def unique(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), d]), axis=1)
+        return pa.record_batch([pa.array(x) for x in pairs], names=["a", "b", "d"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        kept = [b for b in batches if b.num_rows]
+        return [pa.chunked_array([b.column(k) for b in kept]).to_numpy() for k in range(kept[0].num_columns)] if kept else []
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if columns := held(batches):
+            key, i, check, s = columns
+            yield unique(*candidates_in_order(key, i, check.view(np.uint64), s.view(np.uint64)))
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if columns := held(batches):
+            order = np.argsort(columns[0], kind="stable")
+            key, i, check, s, g = (c[order] for c in columns)
+            for first, n in zip(*(x.tolist() for x in _runs(key))):
+                own = slice(first, first + n)
+                if n > DENSE and (g[own] != g[first]).any():
+                    x, y, d = nearest_between(g[own], check[own].view(np.uint64), s[own].view(np.uint64))
+                    if len(x):
+                        yield unique(i[own][x], i[own][y], d)
+
+    pair = "a long, b long, d long"
+    keyed = lambda f, g: f.select("node", "p0", "p1", "s", g).mapInArrow(explode, "key long, id long, check long, s long, g long")
+    found = store(keyed(nodes, F.lit(0).cast("long").alias("g")).drop("g").repartition("key").mapInArrow(propose, pair).distinct(), "near-pairs")
+    pairs = found.where("a <> b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(hash_shingles(lowered_words(t), size)).view(np.int64) for t in texts(batch, "text")]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+            each = [np.unique(hash_shingles(lowered_words(t), size)).view(np.int64) for t in texts(batch, "text")]
+            yield pa.record_batch([batch.column(0), pa.array(each, pa.list_(pa.int64()))], names=["id", "set"])
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "of"), "node")
+    asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(nodes.select("node", "of"), "node")
     asked = store(asked.select(F.col("node").alias("id"), F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash")), "near-asked")
     read = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
     known = store(read.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"]), "near-sets")
-    left, right = known.select(F.col("id").alias("a"), F.col("set").alias("x")), known.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    like = pairs.join(left, "a").join(right, "b").where((F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))) & (both >= similarity * (F.size("x") + F.size("y") - both)))
-    roots = components(store(like.select("a", "b"), "near-links")).withColumnRenamed("node", "_node")
+
+    def links(some: DataFrame) -> DataFrame:
+        left, right = known.select(F.col("id").alias("a"), F.col("set").alias("x")), known.select(F.col("id").alias("b"), F.col("set").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        like = some.select("a", "b").distinct().join(left, "a").join(right, "b").where((F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))) & (both >= similarity * (F.size("x") + F.size("y") - both)))
+        return store(like.select("a", "b"), "near-links")
+
+    each = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+    first = links(each.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")))
+
+    def grouped(linked: DataFrame) -> DataFrame:
+        roots = components(linked)
+        return store(nodes.select("node", "p0", "p1", "s").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "p0", "p1", "s", F.coalesce("root", "node").alias("g")), "near-round")
+
+    def apart_in(groups: DataFrame, some: DataFrame) -> DataFrame:
+        of = lambda c: groups.select(F.col("node").alias(c), F.col("g").alias(f"g_{c}"))
+        return some.join(of("a"), "a").join(of("b"), "b").where("g_a <> g_b")
+
+    linked = first.union(links(apart_in(grouped(first), pairs)))
+    dense = found.where("a = b").select(F.col("a").alias("_n")).distinct()
+    if not dense.isEmpty():
+        groups = grouped(linked)
+        again = groups.join(dense, F.col("node") == F.col("_n"), "left_semi")
+        met = apart_in(groups, keyed(again, "g").repartition("key").mapInArrow(between, pair))
+        linked = linked.union(links(store(met.select("a", "b").distinct(), "near-rest")))
+    roots = components(linked).withColumnRenamed("node", "_node")
     return rows.join(roots, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 
