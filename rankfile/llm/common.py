@@ -15,6 +15,8 @@ SPACES = " \t\n\x0b\x0c\r"
 LOCAL_SHARED = "/tmp/checkpoints/rankfile"
 #: Rows that one numbering task should sort.
 BUCKET_ROWS = 20_000
+#: Tasks that write a table of known size: one for so many rows, and some at least.
+FILE_ROWS, LEAST_FILES = 1 << 20, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else LOCAL_SHARED
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
     """Writes `df` to the shared folder and reads it back.
 
-    This cuts the lineage (a lost executor costs no earlier stage) and gives the planner true sizes.
-    The files go when the driver's file system closes.
+    This cuts the lineage (a lost executor costs no earlier stage) and gives the planner true sizes. rows: about how
+    many rows `df` has at most, if known; the last stage then has a task (and a file) for each `per` of them, so that
+    small tables are not written as hundreds of files. The files go when the driver's file system closes.
     """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // per)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankfile-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -127,26 +127,26 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest reachable node) for each node of links (a, b: long), by alternating star steps.
 
     Each step is grouped minima and equality joins; the links are written to the shared folder after each pair of
-    steps. Steps end when the set of links (its count and hash sum) stays as it is.
+    steps, by a number of tasks that follows theirs. Steps end when all links form stars: each node either has larger
+    neighbours only, or one, smaller.
     """
-    spark = links.sparkSession
-    pairs = store(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = store(edges, "links", links.count())
     while True:
-        state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if state["n"] == 0 or state == mark:
-            break
-        mark = state
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        around = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+        state = around.agg(F.sum("n").alias("n"), F.count_if((F.col("low") < F.col("u")) & (F.col("n") > 1)).alias("open")).first()
+        if not state["open"]:
+            break
+        least = around.select("u", F.least("low", "u").alias("m"))
         # large star: larger neighbours are linked to the least one
         big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours are linked to the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        pairs = store(small.distinct(), "links")
-    nodes = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes if nodes.columns else spark.createDataFrame([], "node long, root long")
+        pairs = store(small.distinct(), "links", state["n"])
+    stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -194,8 +194,9 @@ def classes(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     columns other than doc_id and text are not read.
     """
     prints = store(fingerprints(docs, size), "fingerprints")
-    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    roots = components(store(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance), "raw-links"))
+    n = prints.count()
+    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", n)
+    roots = components(store(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance), "raw-links", BITS * n))
     of = distinct.join(roots, distinct.id == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
