@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     spark = docs.sparkSession
     narrow = store(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_u"), F.monotonically_increasing_id().alias("_rid")), "mix")
-    hist = store(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
+    hist = store(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist", narrow.count())
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()
     sizes.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     targets = share_targets([r["s"] for r in sizes], [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
@@ -116,8 +116,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .join(g, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         .withColumnsRenamed({"source": "_source", "size": "_size"})
     )
-    plan = store(plan, "mix-plan")
-    ranked = numbered(narrow, ["source", "size"], [F.col("_u"), F.col("_rid")], sum(r["n"] for r in sizes), "_rank")
+    rows = sum(r["n"] for r in sizes)
+    plan = store(plan, "mix-plan", rows)
+    ranked = numbered(narrow, ["source", "size"], [F.col("_u"), F.col("_rid")], rows, "_rank")
     out = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     times = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("passes") + (F.col("_rank") < F.col("take")).cast("long"))
     return out.select("doc_id", "source", *keep, "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))

@@ -99,18 +99,19 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
     around = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.array_distinct(F.concat(last(F.element_at("pieces", i)), F.slice(F.element_at("pieces", i + 1), 1, NEAR))))
     held = held.select("h", "entity", F.explode(around).alias("terms"))
     windows = store(held.groupBy("entity", F.xxhash64("terms").alias("w")).agg(F.min("h").alias("h"), F.first("terms").alias("terms")), "pii-windows")
+    n = 2 * NEAR * windows.count()
     n_e = windows.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
     pairs = windows.join(n_e, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     # at least so many of the corpus's lines hold the term: a bound on its risk before the corpus is read
     near = windows.select("h", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = store(pairs.join(near, "term"), "pii-pairs")
+    pairs = store(pairs.join(near, "term"), "pii-pairs", n)
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("risk"))
     corpus = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n")).alias("line"))
     total = corpus.agg(F.count_distinct(F.xxhash64("line")).alias("n")).first()["n"]
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = lambda n_t: F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * n_t))
-    pairs = store(pairs.where((ic > 0) & (pmi(F.col("n_near")) / ic >= GENERALISE)), "pii-candidates")
+    pairs = store(pairs.where((ic > 0) & (pmi(F.col("n_near")) / ic >= GENERALISE)), "pii-candidates", n)
     wanted = pairs.select("term").distinct()
     spelled = corpus.select(F.xxhash64("line").alias("h"), F.explode(F.split(F.lower("line"), r"[^\p{L}\p{N}]+")).alias("term")).where(F.length("term") >= TERM_CHARS)
     n_t = spelled.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
@@ -125,10 +126,11 @@ def terms_by_document(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", values(base_spans(F.col("text"))).alias("values")).where(F.size("values") > 0),
         "pii-held",
     )
-    risky = store(disclosing_terms(docs, held), "pii-risky")
+    n = held.count()
+    risky = store(disclosing_terms(docs, held), "pii-risky", n)
     own = held.select("doc_id", F.xxhash64("text").alias("_key"), F.explode("values").alias("entity")).distinct().join(risky, "entity")
     own = own.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("risk") >= REMOVE, F.col("term")))).alias("removed"))
-    return store(own.withColumnsRenamed({"doc_id": "_id"}), "pii-terms")
+    return store(own.withColumnsRenamed({"doc_id": "_id"}), "pii-terms", n)
 
 
 def _term_spans(text: Column, terms: Column) -> Column:

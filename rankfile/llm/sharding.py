@@ -82,7 +82,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) ->
         "shard-rows",
     )
     groups = rows.groupBy("_t", "size").agg(F.count("*").alias("n"), F.min("_source").alias("_source"), F.min("_lang").alias("_lang"))
-    groups = store(groups, "shard-groups")
+    groups = store(groups, "shard-groups", rows.count())
     total = groups.agg(F.sum(F.col("size") * F.col("n")).alias("w"), F.sum("n").alias("n"), F.min("_source").alias("s0"), F.max("_source").alias("s1"), F.min("_lang").alias("l0"), F.max("_lang").alias("l1"), F.max("size").alias("z")).first()
     if not total["n"]:
         return rows.select("doc_id", *keep, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -103,14 +103,14 @@ def kd_shards(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) ->
             level(F.log("size"), 0.0, math.log(total["z"])).alias("d_size"), level(F.col("_source"), total["s0"], total["s1"]).alias("d_source"), level(F.col("_lang"), total["l0"], total["l1"]).alias("d_lang"),
             F.shiftrightunsigned(F.xxhash64("_t", "_part"), 64 - TIE_BITS).alias("tie"),
         ),
-        "shard-items",
+        "shard-items", total["n"],
     )
     items = items.withColumn("_node", F.lit(1))
     for _ in range(shards.bit_length() - 1):
         cuts = _medians(items, ["d_size", "d_source", "d_lang"])
         goes_right = F.coalesce(*[F.when(F.col("_node") == n, F.shiftleft(F.col(d), TIE_BITS).bitwiseOR(F.col("tie")) >= F.lit(cut)) for n, (d, cut) in cuts.items()], F.lit(False))
         # narrow rows; written so that neither plan nor expressions grow from level to level
-        items = store(items.withColumn("_node", F.col("_node") * 2 + goes_right.cast("int")), "shard-items")
+        items = store(items.withColumn("_node", F.col("_node") * 2 + goes_right.cast("int")), "shard-items", total["n"])
     items = items.select(F.col("_t").alias("_it"), F.col("size").alias("_is"), F.col("_part").alias("_ip"), (F.col("_node") - shards).cast("int").alias("shard"))
     placed = rows.join(items, (F.col("_t") == F.col("_it")) & (F.col("size") == F.col("_is")) & (F.col("_part") == F.col("_ip")))
     placed = placed.select("doc_id", *keep, "size", "text_crc32", "shard", F.xxhash64("doc_id").alias("_u"), "_rid")

@@ -335,8 +335,9 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(prints, "doc_id long, text_hash long, node long, p0 long, p1 long, s long")
     rows = store(rows, "near-rows")
+    n = rows.count()
     # one text stands for each node
-    nodes = store(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), *[F.first(c).alias(c) for c in ("p0", "p1", "s")]), "near-nodes")
+    nodes = store(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), *[F.first(c).alias(c) for c in ("p0", "p1", "s")]), "near-nodes", n)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +372,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     pair = "a long, b long, d long"
     keyed = lambda f, g: f.select("node", "p0", "p1", "s", g).mapInArrow(explode, "key long, id long, check long, s long, g long")
-    found = store(keyed(nodes, F.lit(0).cast("long").alias("g")).drop("g").repartition("key").mapInArrow(propose, pair).distinct(), "near-pairs")
+    found = store(keyed(nodes, F.lit(0).cast("long").alias("g")).drop("g").repartition("key").mapInArrow(propose, pair).distinct(), "near-pairs", 126 * n)
     pairs = found.where("a <> b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,22 +381,22 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             yield pa.record_batch([batch.column(0), pa.array(each, pa.list_(pa.int64()))], names=["id", "set"])
 
     asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(nodes.select("node", "of"), "node")
-    asked = store(asked.select(F.col("node").alias("id"), F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash")), "near-asked")
+    asked = store(asked.select(F.col("node").alias("id"), F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash")), "near-asked", n)
     read = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
-    known = store(read.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"]), "near-sets")
+    known = store(read.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"]), "near-sets", n, 50_000)
 
     def links(some: DataFrame) -> DataFrame:
         left, right = known.select(F.col("id").alias("a"), F.col("set").alias("x")), known.select(F.col("id").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         like = some.select("a", "b").distinct().join(left, "a").join(right, "b").where((F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))) & (both >= similarity * (F.size("x") + F.size("y") - both)))
-        return store(like.select("a", "b"), "near-links")
+        return store(like.select("a", "b"), "near-links", n)
 
     each = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
     first = links(each.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")))
 
     def grouped(linked: DataFrame) -> DataFrame:
         roots = components(linked)
-        return store(nodes.select("node", "p0", "p1", "s").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "p0", "p1", "s", F.coalesce("root", "node").alias("g")), "near-round")
+        return store(nodes.select("node", "p0", "p1", "s").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "p0", "p1", "s", F.coalesce("root", "node").alias("g")), "near-round", n)
 
     def apart_in(groups: DataFrame, some: DataFrame) -> DataFrame:
         of = lambda c: groups.select(F.col("node").alias(c), F.col("g").alias(f"g_{c}"))
@@ -407,9 +408,9 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
         groups = grouped(linked)
         again = groups.join(dense, F.col("node") == F.col("_n"), "left_semi")
         met = apart_in(groups, keyed(again, "g").repartition("key").mapInArrow(between, pair))
-        linked = linked.union(links(store(met.select("a", "b").distinct(), "near-rest")))
+        linked = linked.union(links(store(met.select("a", "b").distinct(), "near-rest", 126 * n)))
     roots = components(linked).withColumnRenamed("node", "_node")
-    return rows.join(roots, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
+    return store(rows.join(roots, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root")), "near-groups", n)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -417,15 +418,16 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     Repeated rows (same doc_id and text) leave one. Other columns pass through, whatever their names.
     """
-    groups = store(near_groups(docs, size, similarity), "near-groups")
+    groups = near_groups(docs, size, similarity)
+    n = groups.count()
     stay = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
-    stay = store(stay, "near-stay")
+    stay = store(stay, "near-stay", n)
     key = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash"))
     out = apart(docs, F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t")).join(stay, key, "left_semi")
     repeated = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     if repeated.isEmpty():
         return out.select(*row_columns(docs))
-    repeated = store(repeated, "near-repeated")
+    repeated = store(repeated, "near-repeated", n)
     first = Window.partitionBy("_d", "_t").orderBy(F.lit(0))
     many = out.join(repeated, key, "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1")
     return out.join(repeated, key, "left_anti").select(*row_columns(docs)).union(many.select(*row_columns(docs)))
