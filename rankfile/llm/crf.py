@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ TRAIN_DOCS, TRAIN_LINES = 3000, 200
 THRESHOLD = 0.7
 _SYMBOLS = "#*$%&|<>"
 _MARKS = ".,;:"
+_UPPER = bytes(range(65, 91))
 _OWN = 11
 #: Own features of a line, of the lines before and after it, and a constant.
 WIDTH = 3 * _OWN + 1
@@ -33,16 +35,14 @@ def line_features(lines: list[str]) -> np.ndarray:
         if not n:
             out[k, 0] = 1.0
             continue
-        low = line.lower()
         symbols = sum(map(line.count, _SYMBOLS))
         encoded = line.encode()
         digits = sum(map(encoded.count, b"0123456789"))
-        upper = sum(a != b for a, b in zip(line[:400], low[:400])) / min(chars, 400)
         out[k, 1] = min(1.0, n / 40)
         out[k, 2] = min(1.0, symbols / n)
         out[k, 3] = min(1.0, 5 * symbols / chars)
         out[k, 4] = min(1.0, 4 * digits / chars)
-        out[k, 5] = upper
+        out[k, 5] = (chars - len(encoded.translate(None, _UPPER)) if line.isascii() else sum(map(str.isupper, line))) / chars
         out[k, 6] = len(set(words)) / n
         out[k, 7] = min(1.0, line.count("!") / n)
         out[k, 8] = min(1.0, sum(map(line.count, _MARKS)) / n * 4)
@@ -158,8 +158,8 @@ def score_texts(batch: list[str], model: Crf) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf:
     """Fits the field on about `train_docs` labelled documents of the training split, half of them of either label,
-    chosen by a hash of doc_id (2 * train_docs ids at the very most), and the first `train_lines` lines of each.
-    Documents are found by a broadcast join on the sample's ids; line features are made on the executors."""
+    chosen by a hash of doc_id (2 * train_docs ids at the very most). Of a longer one `train_lines` consecutive lines are
+    taken, from a place that a hash of its first line decides. Documents are found by a broadcast join on the sample's ids; line features are made on the executors."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & train_split(F.col("doc_id")))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -171,13 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     # its size is bounded, so it may be broadcast; texts are never shuffled for the sample's sake
     sample = F.broadcast(store(sample.orderBy(F.xxhash64("_id"), "_id").limit(2 * train_docs), "crf-sample"))
 
+    def stretch(lines: list[str]) -> list[str]:
+        first = zlib.crc32(lines[0].encode()) % max(1, len(lines) - train_lines + 1)
+        return lines[first : first + train_lines]
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [line_features(t.split("\n")[:train_lines]).astype(np.float32).tobytes() for t in texts(batch, "text")]
+            rows = [line_features(stretch(t.split("\n"))).astype(np.float32).tobytes() for t in texts(batch, "text")]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "f"])
 
-    rows = docs.join(sample, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "quality", "text").mapInArrow(features, "doc_id long, quality int, f binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
+    rows = docs.join(sample, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "quality", "text").mapInArrow(features, "doc_id long, quality int, f binary")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).orderBy("doc_id").collect()  # a repeated doc_id counts once
     own = [np.frombuffer(r["f"], dtype=np.float32).reshape(-1, _OWN).astype(float) for r in rows]
     if not own:
         return Crf(np.zeros(WIDTH), np.zeros((2, 2)))
