@@ -210,8 +210,10 @@ WIDE = [(0, 0, 18), (0, 18, 18), (0, 36, 18), (1, 0, 18), (1, 18, 18), (1, 36, 1
 #: Differing bits of a proposed pair at most: in the other word, and in the fingerprint of `size`-word shingles. At
 #: similarity 0.8 they are about 5 and 10; a pair beyond either limit is one in several hundred.
 FAR, FAR_SHINGLES = 13, 18
-#: The second limit between groups of a dense signature, which have many members to meet by.
-FAR_GROUPS = 13
+#: Differing bits of both words and the shingles together (about 20 at similarity 0.8), between groups of a dense
+#: signature; and how many pairs of two groups are tested first, and by how much more in each round after.
+FAR_TOTAL = 32
+FEW, MORE = 64, 64
 #: Partners that a node of a dense signature is given in the first round.
 NEAREST = 3
 
@@ -259,29 +261,34 @@ def nearest_of_run(checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray,
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def nearest_between(groups: np.ndarray, checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each two groups of a run the nearest pair of rows, if any is within the limits."""
+def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of each two groups of a run the `most` nearest pairs of rows within the limits; whether there are more.
+
+    prints: rows x 3 (both words, shingles); nearness counts the bits of all three. The members of the largest group
+    propose nothing: the others meet them.
+    """
     order = np.argsort(groups, kind="stable")
     names, starts, sizes = np.unique(groups[order], return_index=True, return_counts=True)
-    largest = names[sizes.argmax()]
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = [(order[:0], order[:0])]
+    more = False
     for name, first, size in zip(names, starts, sizes):
-        if name == largest:
+        if name == names[sizes.argmax()]:
             continue
-        own = order[first : first + size]
-        least = np.full(len(groups), 255, dtype=np.uint8)
-        by = np.zeros(len(groups), dtype=np.int64)
-        for k in range(0, size, 256):
-            d = _distances(checks, prints, own[k : k + 256])
-            low, row = d.min(axis=0), own[k : k + 256][d.argmin(axis=0)]
-            better = low < least
-            least[better], by[better] = low[better], row[better]
-        least[own] = 255
-        near = np.flatnonzero(least <= FAR_GROUPS)
-        near = near[np.argsort(least[near], kind="stable")]
-        _, one = np.unique(groups[near], return_index=True)
-        out += [(int(by[j]), int(j), int(least[j])) for j in near[one]]
-    return tuple(np.asarray([o[k] for o in out], dtype=np.int64) for k in range(3))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(first, first + size, 64):
+            own = order[k : min(k + 64, first + size)]
+            w0, w1, sh = (popcount(prints[own, None, c] ^ prints[None, :, c]) for c in range(3))
+            total = w0 + w1 + sh
+            x, y = np.nonzero((w0 <= FAR) & (w1 <= FAR) & (sh <= FAR_SHINGLES) & (total <= FAR_TOTAL) & (groups != name)[None])
+            held.append((own[x], y, total[x, y]))
+        x, y, d = (np.concatenate([h[c] for h in held]) for c in range(3))
+        by = np.lexsort((y, d, groups[y]))
+        x, y = x[by], y[by]
+        start, count = _runs(groups[y]) if len(y) else (order[:0], order[:0])
+        rank = np.arange(len(y)) - np.repeat(start, count)
+        more |= bool((rank >= most).any())
+        out.append((x[rank < most], y[rank < most]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), more
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,10 +323,11 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     A node is a distinct sequence of lowered words (copies are one node). Deletion-variant signatures of its word
     fingerprints propose pairs; a pair is a link if the Jaccard similarity of the sets of `size`-word shingles is at
-    least `similarity`, computed from whole texts. Three rounds: first each node is tested with its nearest partner;
-    then all proposed pairs whose nodes are not connected yet. In a signature that more than DENSE nodes share, a node
-    proposes its NEAREST partners only; for these signatures a third round pairs the groups found so far, each two by
-    their nearest members. So a large group costs rows in proportion to its members. Wordless and null texts are
+    least `similarity`, computed from whole texts. First each node is tested with its nearest partner; then all
+    proposed pairs whose nodes are not connected yet. In a signature that more than DENSE nodes share, a node proposes
+    its NEAREST partners only; for these signatures further rounds pair the groups found so far, each two by the FEW
+    nearest pairs of members, then by MORE times as many, until groups that are still apart have no more pairs within
+    the limits. So a large group costs rows in proportion to its members, and no candidate is left untested. Wordless and null texts are
     one node and copies of each other. text_hash is Spark's xxhash64 of the text (null: of nothing).
     """
     small_batches(docs.sparkSession)
@@ -341,14 +349,20 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1).view(np.uint64)
-            keys, checks = wide_signatures(p)
-            same = [pa.array(np.repeat(batch.column(k).to_numpy(), keys.shape[1])) for k in (0, 3, 4)]
-            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), same[0], pa.array(checks.ravel().view(np.int64)), *same[1:]], names=["key", "id", "check", "s", "g"])
+            keys, checks = wide_signatures(np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1).view(np.uint64))
+            i, sh = (np.repeat(batch.column(k).to_numpy(), keys.shape[1]) for k in (0, 3))
+            yield pa.record_batch([pa.array(x.ravel().view(np.int64)) for x in (keys, i, checks, sh)], names=["key", "id", "check", "s"])
 
-    def unique(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), d]), axis=1)
-        return pa.record_batch([pa.array(x) for x in pairs], names=["a", "b", "d"])
+    def explode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _ = wide_signatures(np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1).view(np.uint64))
+            rest = [pa.array(np.repeat(c.to_numpy(), keys.shape[1])) for c in batch.columns]
+            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), *rest], names=["key", "id", "p0", "p1", "s", "g"])
+
+    def unique(*columns: np.ndarray) -> pa.RecordBatch:
+        a, b, *rest = columns
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), *rest]), axis=1)
+        return pa.record_batch([pa.array(x) for x in pairs], names=["a", "b", "d"][: len(pairs)])
 
     def held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         kept = [b for b in batches if b.num_rows]
@@ -359,20 +373,25 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             key, i, check, s = columns
             yield unique(*candidates_in_order(key, i, check.view(np.uint64), s.view(np.uint64)))
 
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if columns := held(batches):
-            order = np.argsort(columns[0], kind="stable")
-            key, i, check, s, g = (c[order] for c in columns)
-            for first, n in zip(*(x.tolist() for x in _runs(key))):
-                own = slice(first, first + n)
-                if n > DENSE and (g[own] != g[first]).any():
-                    x, y, d = nearest_between(g[own], check[own].view(np.uint64), s[own].view(np.uint64))
-                    if len(x):
-                        yield unique(i[own][x], i[own][y], d)
-
-    pair = "a long, b long, d long"
-    keyed = lambda f, g: f.select("node", "p0", "p1", "s", g).mapInArrow(explode, "key long, id long, check long, s long, g long")
-    found = store(keyed(nodes, F.lit(0).cast("long").alias("g")).drop("g").repartition("key").mapInArrow(propose, pair).distinct(), "near-pairs", 126 * n)
+    def between(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if columns := held(batches):
+                order = np.argsort(columns[0], kind="stable")
+                key, i, *prints, g = (c[order] for c in columns)
+                prints = np.stack(prints, axis=1).view(np.uint64)
+                for first, n in zip(*(x.tolist() for x in _runs(key))):
+                    own = slice(first, first + n)
+                    if n > DENSE and (g[own] != g[first]).any():
+                        x, y, more = nearest_between(g[own], prints[own], most)
+                        if more:  # a row of one node says so
+                            x, y = np.append(x, 0), np.append(y, 0)
+                        if len(x):
+                            yield unique(i[own][x], i[own][y])
+
+        return run
+
+    found = nodes.select("node", "p0", "p1", "s").mapInArrow(explode, "key long, id long, check long, s long").repartition("key")
+    found = store(found.mapInArrow(propose, "a long, b long, d long").distinct(), "near-pairs", 126 * n)
     pairs = found.where("a <> b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,11 +423,14 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     linked = first.union(links(apart_in(grouped(first), pairs)))
     dense = found.where("a = b").select(F.col("a").alias("_n")).distinct()
-    if not dense.isEmpty():
+    most, more = FEW, not dense.isEmpty()
+    while more:
         groups = grouped(linked)
         again = groups.join(dense, F.col("node") == F.col("_n"), "left_semi")
-        met = apart_in(groups, keyed(again, "g").repartition("key").mapInArrow(between, pair))
-        linked = linked.union(links(store(met.select("a", "b").distinct(), "near-rest", 126 * n)))
+        keyed = again.select("node", "p0", "p1", "s", "g").mapInArrow(explode_all, "key long, id long, p0 long, p1 long, s long, g long")
+        met = store(keyed.repartition("key").mapInArrow(between(most), "a long, b long").distinct(), "near-rest", 126 * n)
+        linked = linked.union(links(apart_in(groups, met)))
+        most, more = most * MORE, not met.where("a = b").isEmpty()
     roots = components(linked).withColumnRenamed("node", "_node")
     return store(rows.join(roots, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root")), "near-groups", n)
 
