@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +49,33 @@ def store(df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROW
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """store() with one row of each key, in buckets of the key: joins on it shuffle their other side only."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"rankfile_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table_name}"
+    df.repartition(parts, key).dropDuplicates([key]).write.bucketBy(parts, key).option("path", path).saveAsTable(table_name)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.table(table_name)
+
+
+@contextlib.contextmanager
+def bloom_filters(spark: SparkSession) -> Iterator[None]:
+    """While this holds, the planner puts a Bloom filter (of bounded size) before a join's shuffle at any size."""
+    at = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {f"{at}enabled": "true", f"{at}applicationSideScanSizeThreshold": "0", f"{at}creationSideThreshold": "1g"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds what one Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, row_columns, small_batches, store, texts
+from .common import apart, bloom_filters, row_columns, small_batches, store, store_by, texts
 
 BITS = 64
 SEED = 42
@@ -261,12 +261,29 @@ def nearest_of_run(checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray,
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def segment_of(p: np.ndarray, segment: int) -> np.ndarray:
+    """The bits of a segment of fingerprint pairs (last axis: the two words)."""
+    if segment == len(WIDE):
+        return (p[..., 0] >> np.uint64(54)) & np.uint64(0x1FF) | ((p[..., 1] >> np.uint64(54)) & np.uint64(0x1FF)) << np.uint64(9)
+    word, first, width = WIDE[segment]
+    return p[..., word] >> np.uint64(first) & np.uint64((1 << width) - 1)
+
+
+def meet_before(p: np.ndarray, q: np.ndarray, segment: int) -> np.ndarray:
+    """Whether fingerprint pairs (p: rows x 1 x 2, q: 1 x rows x 2) share a signature of a segment before `segment`."""
+    out = np.zeros(np.broadcast_shapes(p.shape[:2], q.shape[:2]), dtype=bool)
+    for word, first, width in WIDE[:segment]:
+        out |= popcount((p[..., word] ^ q[..., word]) >> np.uint64(first) & np.uint64((1 << width) - 1)) <= 1
+    return out
+
+
+def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int, at: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
     """Of each two groups of a run the `most` nearest pairs of rows within the limits; whether there are more.
 
     prints: rows x 3 (both words, shingles); nearness counts the bits of all three. The members of the largest group
-    propose nothing: the others meet them.
+    propose nothing: the others meet them. at: the run's signature; pairs that meet in one before it are left to that.
     """
+    segment, wild = divmod(at, 18)
     order = np.argsort(groups, kind="stable")
     names, starts, sizes = np.unique(groups[order], return_index=True, return_counts=True)
     out: list[tuple[np.ndarray, np.ndarray]] = [(order[:0], order[:0])]
@@ -280,6 +297,11 @@ def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int) -> tuple[
             w0, w1, sh = (popcount(prints[own, None, c] ^ prints[None, :, c]) for c in range(3))
             total = w0 + w1 + sh
             x, y = np.nonzero((w0 <= FAR) & (w1 <= FAR) & (sh <= FAR_SHINGLES) & (total <= FAR_TOTAL) & (groups != name)[None])
+            p, q = prints[own[x], None, :2], prints[None, y, :2].transpose(1, 0, 2)
+            here = ~meet_before(p, q, segment)[:, 0]
+            if wild:  # rows of a run that are alike in the segment met at its first wildcard
+                here &= segment_of(p, segment)[:, 0] != segment_of(q, segment)[:, 0]
+            x, y = x[here], y[here]
             held.append((own[x], y, total[x, y]))
         x, y, d = (np.concatenate([h[c] for h in held]) for c in range(3))
         by = np.lexsort((y, d, groups[y]))
@@ -382,7 +404,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
                 for first, n in zip(*(x.tolist() for x in _runs(key))):
                     own = slice(first, first + n)
                     if n > DENSE and (g[own] != g[first]).any():
-                        x, y, more = nearest_between(g[own], prints[own], most)
+                        x, y, more = nearest_between(g[own], prints[own], most, int(key[first]) >> 20)
                         if more:  # a row of one node says so
                             x, y = np.append(x, 0), np.append(y, 0)
                         if len(x):
@@ -401,8 +423,12 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(nodes.select("node", "of"), "node")
     asked = store(asked.select(F.col("node").alias("id"), F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash")), "near-asked", n)
-    read = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
-    known = store(read.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"]), "near-sets", n, 50_000)
+    # the comparison holds for every id; it tells the planner that a Bloom filter of `asked` may spare texts the shuffle
+    some_ids = asked.where(F.col("id") >= F.lit(-(1 << 63)))
+    read = docs.select("doc_id", "text").join(some_ids, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
+    # dealt out by id once; the joins below find it so
+    with bloom_filters(docs.sparkSession):
+        known = store_by(read.mapInArrow(sets, "id long, set array<long>"), "near-sets", "id")
 
     def links(some: DataFrame) -> DataFrame:
         left, right = known.select(F.col("id").alias("a"), F.col("set").alias("x")), known.select(F.col("id").alias("b"), F.col("set").alias("y"))
