@@ -166,6 +166,32 @@ def test_near_duplicates_by_similarity(spark):
     assert simhash.drop_near_duplicates(docs.where("false")).count() == 0
 
 
+def test_pairs_between_groups_meet_once():
+    rng = np.random.default_rng(0)
+    prints = np.tile(rng.integers(0, 1 << 63, size=3, dtype=np.uint64), (90, 1))
+    for row in prints:
+        for c in range(3):
+            for b in rng.choice(64, size=4, replace=False):
+                row[c] ^= np.uint64(1) << np.uint64(b)
+    groups = np.arange(90) % 7
+    groups[:45] = 0
+    keys, _ = simhash.wide_signatures(prints[:, :2])
+    bits = np.bitwise_count(prints[:, None] ^ prints[None])
+    near = (bits[..., 0] <= simhash.FAR) & (bits[..., 1] <= simhash.FAR) & (bits[..., 2] <= simhash.FAR_SHINGLES) & (bits.sum(axis=2) <= simhash.FAR_TOTAL)
+    share = (keys[:, None] == keys[None]).any(axis=2)
+    want = {(i, j) for i, j in zip(*np.nonzero(near & share)) if i < j and groups[i] != groups[j]}
+    found = []
+    for at in range(keys.shape[1]):
+        for key in np.unique(keys[:, at]):
+            run = np.flatnonzero(keys[:, at] == key)
+            x, y, more = simhash.nearest_between(groups[run], prints[run], 10**6, at)
+            assert not more
+            found += sorted({(min(i, j), max(i, j)) for i, j in zip(run[x], run[y])})
+            few, _, more = simhash.nearest_between(groups[run], prints[run], 1, at)
+            assert len(few) <= len(x) and (more or len(few) == len(x))
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
+
+
 def brute_nearest(rows, queries, k):
     rows = sorted(set(rows))
     x = np.asarray([v for _, v in rows], dtype=np.float32).astype(np.float64)
