@@ -190,7 +190,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text) - acc["at"]))
     clean = F.when(F.size("spans") > 0, F.aggregate(ordered, begin, put, rest)).otherwise(F.col("text"))
-    new = {"text": clean}
+    found = found.select("_row", "spans", clean.alias("_clean"))
+    new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size("spans") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
     return found.select(*[new[c].alias(c) if c in new else column for c, column in zip(docs.columns, row_columns(docs))])
