@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, row_columns, store
+from .common import WORD, apart, row_columns, store
+from .simhash import components
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Patterns in Java syntax. They find what the plain ones find, in linear time: a match can only begin where a run of
@@ -18,8 +19,11 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
-#: Least letters of a term, least distinct windows it must share with an entity, words of a window to either side.
-TERM_CHARS, SUPPORT, NEAR = 3, 3, 10
+#: Least letters of a term; classes of documents that it must share with an entity if it also stands in others; words of
+#: a window to either side of an entity; what is added to a term's classes, so that few of them weigh less.
+TERM_CHARS, SUPPORT, NEAR, PRIOR = 3, 3, 10, 0.5
+#: Near copies: words of a shingle, least hashes kept of a text, those by which texts meet, and the share they need alike.
+SHINGLE, SKETCH, KEYS, ALIKE = 4, 32, 3, 0.5
 #: PMI as a share of the entity's information content, from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.80, 0.95
 
@@ -78,44 +82,75 @@ def base_spans(text: Column) -> Column:
     return F.concat(*out)
 
 
+def near_classes(docs: DataFrame) -> DataFrame:
+    """h (hash of the text), c (class of its near copies), rows of each distinct text; null texts have no class.
+
+    A text is known by the SKETCH least hashes of its shingles. Texts that share one of the KEYS least meet the first of
+    them, and are linked if ALIKE of both sketches is the same; a class is what links connect.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
+    each = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), words.alias("w"))
+    each = each.select("h", F.slice(F.array_sort(F.array_distinct(hashed)), 1, SKETCH).alias("sketch"))
+    each = store(each.groupBy("h").agg(F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "pii-sketches")
+    n = each.count()
+    keys = each.select("h", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
+    first = keys.groupBy("key").agg(F.min("h").alias("b"), F.count("*").alias("n")).where("n > 1")
+    met = keys.join(first, "key").where("h <> b").select(F.col("h").alias("a"), "b").distinct()
+    met = met.join(each.select(F.col("h").alias("a"), F.col("sketch").alias("x")), "a").join(each.select(F.col("h").alias("b"), F.col("sketch").alias("y")), "b")
+    linked = store(met.where(F.size(F.array_intersect("x", "y")) >= ALIKE * F.size(F.array_union("x", "y"))).select("a", "b"), "pii-links", n)
+    classes = each.select("h", "rows").join(components(linked), F.col("h") == F.col("node"), "left")
+    return store(classes.select("h", F.coalesce("root", "h").alias("c"), "rows"), "pii-classes", n)
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)), lambda t: F.length(t) >= TERM_CHARS)
+
+
 def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, term, risk) for terms that disclose a protected entity.
 
-    The unit of co-occurrence is the distinct window: the NEAR words before and after an occurrence of the entity in
-    its line, other entities left out. Copies of a passage, near ones mostly too, are no evidence of their own. An
-    entity is the value of a base span; risk is PMI(entity, term) over the entity's information content, 1 where what
-    holds the term holds the entity. Only pairs in SUPPORT windows or more are weighed; a term's distinct lines are
-    counted over the whole corpus. entities: doc_id, text, values (distinct base values of the text), for documents
-    that have any.
+    An entity is the value of a base span. All counts are of classes of near copies (near_classes): those that hold the
+    entity (n_e), a term within NEAR words of it in its line (n_et), the term anywhere (n_t), and all. Risk is
+    PMI(entity, term) over the entity's information content, with n_et / (n_t + PRIOR) as the share of the term's
+    classes that hold the entity. Pairs in fewer than SUPPORT classes are weighed if the term stands in no other class.
+    entities: doc_id, text, values (distinct base values of the text), for documents that have any.
     """
-    words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)), lambda t: F.length(t) >= TERM_CHARS)
+    near = near_classes(docs)
     last = lambda a: F.slice(a, F.greatest(F.size(a) - (NEAR - 1), F.lit(1)), F.lit(NEAR))
-    lines = entities.select("values", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.select(F.xxhash64("line").alias("h"), "line", F.filter("values", lambda v: F.contains(F.col("line"), v)).alias("values")).where(F.size("values") > 0)
-    held = lines.select("h", "line", "values", F.explode("values").alias("entity"))
+    texts = entities.select(F.xxhash64("text").alias("h"), "text", "values").dropDuplicates(["h"]).join(near, "h")
+    lines = texts.select("c", "values", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    held = lines.select("c", "line", "values", F.explode(F.filter("values", lambda v: F.contains(F.col("line"), v))).alias("entity"))
     bare = F.aggregate(F.filter("values", lambda v: v != F.col("entity")), F.col("line"), lambda a, v: F.replace(a, v, F.lit(" ")))
-    pieces = F.transform(F.split(bare, F.concat(F.lit(r"\Q"), F.col("entity"), F.lit(r"\E")), -1), words)
-    held = held.select("h", "entity", pieces.alias("pieces")).where(F.size("pieces") > 1)
-    around = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.array_distinct(F.concat(last(F.element_at("pieces", i)), F.slice(F.element_at("pieces", i + 1), 1, NEAR))))
-    held = held.select("h", "entity", F.explode(around).alias("terms"))
-    windows = store(held.groupBy("entity", F.xxhash64("terms").alias("w")).agg(F.min("h").alias("h"), F.first("terms").alias("terms")), "pii-windows")
-    n = 2 * NEAR * windows.count()
-    n_e = windows.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = windows.join(n_e, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    # at least so many of the corpus's lines hold the term: a bound on its risk before the corpus is read
-    near = windows.select("h", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = store(pairs.join(near, "term"), "pii-pairs", n)
-    if pairs.isEmpty():
+    pieces = F.transform(F.split(bare, F.concat(F.lit(r"\Q"), F.col("entity"), F.lit(r"\E")), -1), _words)
+    held = held.select("c", "entity", pieces.alias("pieces")).where(F.size("pieces") > 1)
+    around = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.concat(last(F.element_at("pieces", i)), F.slice(F.element_at("pieces", i + 1), 1, NEAR)))
+    held = held.select("c", "entity", F.explode(F.array_distinct(F.flatten(around))).alias("term"))
+    n_e = texts.select("c", F.explode("values").alias("entity")).groupBy("entity").agg(F.count_distinct("c").alias("n_e"))
+    n_et = held.groupBy("entity", "term").agg(F.count_distinct("c").alias("n_et"))
+    total = near.agg(F.count_distinct("c").alias("n")).first()["n"]
+
+    def risk(n_t: Column) -> Column:
+        ic = F.log(F.lit(float(total)) / F.col("n_e"))
+        return F.when(ic > 0, F.least(F.lit(1.0), F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * (n_t + PRIOR))) / ic))
+
+    # the classes of documents with entities bound a term's risk before the corpus is read
+    sizes = near.groupBy("c").agg(F.sum("rows").alias("rows"))
+    known = texts.select("c", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).distinct().join(sizes, "c")
+    known = known.groupBy("term").agg(F.count("*").alias("n_known"), F.sum("rows").alias("most"))
+    pairs = n_et.join(known, "term").where((F.col("n_et") >= SUPPORT) | (F.col("n_et") == F.col("n_known"))).join(n_e, "entity")
+    pairs = store(pairs.where(risk(F.col("n_known")) >= GENERALISE), "pii-pairs")
+    n = pairs.count()
+    if not n:
         return pairs.select("entity", "term", F.lit(0.0).alias("risk"))
-    corpus = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n")).alias("line"))
-    total = corpus.agg(F.count_distinct(F.xxhash64("line")).alias("n")).first()["n"]
-    ic = F.log(F.lit(float(total)) / F.col("n_e"))
-    pmi = lambda n_t: F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * n_t))
-    pairs = store(pairs.where((ic > 0) & (pmi(F.col("n_near")) / ic >= GENERALISE)), "pii-candidates", n)
-    wanted = pairs.select("term").distinct()
-    spelled = corpus.select(F.xxhash64("line").alias("h"), F.explode(F.split(F.lower("line"), r"[^\p{L}\p{N}]+")).alias("term")).where(F.length("term") >= TERM_CHARS)
-    n_t = spelled.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return pairs.join(n_t, "term").select("entity", "term", F.least(F.lit(1.0), pmi(F.col("n_t")) / ic).alias("risk")).where(F.col("risk") >= GENERALISE)
+    # a term of more rows than these classes have stands in another class too
+    corpus = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    pairs = pairs.join(corpus.groupBy("term").agg(F.count("*").alias("n_rows")), "term").where((F.col("n_et") >= SUPPORT) | (F.col("n_rows") <= F.col("most")))
+    pairs = store(pairs, "pii-candidates", n)
+    spelled = corpus.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
+    n_t = spelled.join(near, "h").groupBy("term").agg(F.count_distinct("c").alias("n_t"))
+    pairs = pairs.join(n_t, "term").where((F.col("n_et") >= SUPPORT) | (F.col("n_et") == F.col("n_t")))
+    return pairs.select("entity", "term", risk(F.col("n_t")).alias("risk")).where(F.col("risk") >= GENERALISE)
 
 
 def terms_by_document(docs: DataFrame) -> DataFrame:

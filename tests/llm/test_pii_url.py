@@ -60,6 +60,26 @@ def test_terms_that_disclose_an_entity_go(spark):
     assert {i: clean[i] for i in clean if i >= 10} == {r[0]: r[1] for r in rows if r[0] >= 10}
 
 
+def test_terms_are_weighed_by_classes_of_documents(spark):
+    filler = [f"quiet line number {i} about nothing much" for i in range(60)]
+    rows = [(i, f"{filler[i]}\nWrite to Zebulon the clerk {i} at zeb@x.org today\n{filler[i + 20]}") for i in range(6)]
+    rows += [(10 + i, f"the clerk said {filler[i]} today") for i in range(50)]
+    rows += [(70, "ask Quillon about the clerk at quil@x.org today"), (71, "ask Ostrander the clerk at ost@x.org"), (72, "Ostrander is heard of elsewhere too")]
+    story = " ".join(f"word{k} of a long tale" for k in range(40))
+    rows += [(80 + i, f"{story} by the clerk Vandermeer at van@x.org copy{i}") for i in range(4)]  # near copies: one class
+    rows += [(90, f"{story} by the clerk Vandermeer")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i in range(6):  # windows that are alike in distinct documents are evidence
+        assert "<EMAIL>" in clean[i] and "Zebulon" not in clean[i] and filler[i] in clean[i] and "the clerk" in clean[i]
+    assert "Quillon" not in clean[70] and "about the clerk" in clean[70]  # one document, but the term stands in no other
+    assert "Ostrander the clerk" in clean[71] and clean[72] == rows[58][1]
+    assert all("Vandermeer" not in clean[80 + i] for i in range(4)) and "Vandermeer" in clean[90]
+    classes = {r["h"]: r["c"] for r in pii.near_classes(docs).collect()}
+    of = dict(docs.selectExpr("doc_id", "xxhash64(text)").collect())
+    assert len({classes[of[k]] for k in (80, 81, 82, 83, 90)}) == 1 and len(set(classes.values())) == len(rows) - 4
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     docs = table(spark, "documents")
     clean = pii.sanitise(docs)
