@@ -19,14 +19,16 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
-#: Least letters of a term; classes of documents that it must share with an entity if it also stands in others; words of
-#: a window to either side of an entity; what is added to a term's classes, so that few of them weigh less.
-TERM_CHARS, SUPPORT, NEAR, PRIOR = 3, 3, 10, 0.5
+#: Least letters of a term; classes of documents that it must share with an entity if it also stands in others; what
+#: is added to a term's classes, so that few of them weigh less.
+TERM_CHARS, SUPPORT, PRIOR = 3, 3, 0.5
 #: Near copies: words of a shingle, least hashes kept of a text, those by which texts meet, and the share they need alike.
 SHINGLE, SKETCH, KEYS, ALIKE = 4, 32, 3, 0.5
 #: PMI as a share of the entity's information content, from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.80, 0.95
 
+#: What every text with a base span has.
+MARK = r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){15}"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -111,21 +113,15 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, term, risk) for terms that disclose a protected entity.
 
     An entity is the value of a base span. All counts are of classes of near copies (near_classes): those that hold the
-    entity (n_e), a term within NEAR words of it in its line (n_et), the term anywhere (n_t), and all. Risk is
+    entity (n_e), a document with the entity and the term anywhere in it (n_et), the term (n_t), and all. Risk is
     PMI(entity, term) over the entity's information content, with n_et / (n_t + PRIOR) as the share of the term's
     classes that hold the entity. Pairs in fewer than SUPPORT classes are weighed if the term stands in no other class.
     entities: doc_id, text, values (distinct base values of the text), for documents that have any.
     """
     near = near_classes(docs)
-    last = lambda a: F.slice(a, F.greatest(F.size(a) - (NEAR - 1), F.lit(1)), F.lit(NEAR))
-    texts = entities.select(F.xxhash64("text").alias("h"), "text", "values").dropDuplicates(["h"]).join(near, "h")
-    lines = texts.select("c", "values", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    held = lines.select("c", "line", "values", F.explode(F.filter("values", lambda v: F.contains(F.col("line"), v))).alias("entity"))
-    bare = F.aggregate(F.filter("values", lambda v: v != F.col("entity")), F.col("line"), lambda a, v: F.replace(a, v, F.lit(" ")))
-    pieces = F.transform(F.split(bare, F.concat(F.lit(r"\Q"), F.col("entity"), F.lit(r"\E")), -1), _words)
-    held = held.select("c", "entity", pieces.alias("pieces")).where(F.size("pieces") > 1)
-    around = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.concat(last(F.element_at("pieces", i)), F.slice(F.element_at("pieces", i + 1), 1, NEAR)))
-    held = held.select("c", "entity", F.explode(F.array_distinct(F.flatten(around))).alias("term"))
+    texts = entities.select(F.xxhash64("text").alias("h"), "values", F.array_distinct(_words(F.col("text"))).alias("terms")).dropDuplicates(["h"]).join(near, "h")
+    texts = store(texts, "pii-texts")
+    held = texts.select("c", "terms", F.explode("values").alias("entity")).select("c", "entity", F.explode("terms").alias("term"))
     n_e = texts.select("c", F.explode("values").alias("entity")).groupBy("entity").agg(F.count_distinct("c").alias("n_e"))
     n_et = held.groupBy("entity", "term").agg(F.count_distinct("c").alias("n_et"))
     total = near.agg(F.count_distinct("c").alias("n")).first()["n"]
@@ -136,8 +132,8 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
 
     # the classes of documents with entities bound a term's risk before the corpus is read
     sizes = near.groupBy("c").agg(F.sum("rows").alias("rows"))
-    known = texts.select("c", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).distinct().join(sizes, "c")
-    known = known.groupBy("term").agg(F.count("*").alias("n_known"), F.sum("rows").alias("most"))
+    known = texts.select("c", "rows", F.explode("terms").alias("term")).groupBy("c", "term").agg(F.sum("rows").alias("known")).join(sizes, "c")
+    known = known.groupBy("term").agg(F.count("*").alias("n_known"), F.sum("known").alias("known"), F.sum("rows").alias("most"))
     pairs = n_et.join(known, "term").where((F.col("n_et") >= SUPPORT) | (F.col("n_et") == F.col("n_known"))).join(n_e, "entity")
     pairs = store(pairs.where(risk(F.col("n_known")) >= GENERALISE), "pii-pairs")
     n = pairs.count()
@@ -147,9 +143,11 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame) -> DataFrame:
     corpus = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     pairs = pairs.join(corpus.groupBy("term").agg(F.count("*").alias("n_rows")), "term").where((F.col("n_et") >= SUPPORT) | (F.col("n_rows") <= F.col("most")))
     pairs = store(pairs, "pii-candidates", n)
-    spelled = corpus.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
+    # other rows' classes are counted only for terms that stand in rows without entities
+    open_terms = store(pairs.where(F.col("n_rows") > F.col("known")).select("term").distinct(), "pii-open", n)
+    spelled = corpus.join(open_terms, "term", "left_semi").distinct()
     n_t = spelled.join(near, "h").groupBy("term").agg(F.count_distinct("c").alias("n_t"))
-    pairs = pairs.join(n_t, "term").where((F.col("n_et") >= SUPPORT) | (F.col("n_et") == F.col("n_t")))
+    pairs = pairs.join(n_t, "term", "left").withColumn("n_t", F.coalesce("n_t", "n_known")).where((F.col("n_et") >= SUPPORT) | (F.col("n_et") == F.col("n_t")))
     return pairs.select("entity", "term", risk(F.col("n_t")).alias("risk")).where(F.col("risk") >= GENERALISE)
 
 
@@ -157,13 +155,14 @@ def terms_by_document(docs: DataFrame) -> DataFrame:
     """(_id, _key, terms, removed): for each document the terms that disclose an entity the document itself holds."""
     values = lambda spans: F.array_distinct(F.transform(spans, lambda s: s["value"]))
     held = store(
-        docs.where(F.col("text").rlike(r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){15}"))
+        docs.where(F.col("text").rlike(MARK))
         .select("doc_id", "text", values(base_spans(F.col("text"))).alias("values")).where(F.size("values") > 0),
         "pii-held",
     )
     n = held.count()
     risky = store(disclosing_terms(docs, held), "pii-risky", n)
-    own = held.select("doc_id", F.xxhash64("text").alias("_key"), F.explode("values").alias("entity")).distinct().join(risky, "entity")
+    own = held.select("doc_id", F.xxhash64("text").alias("_key"), "values", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    own = own.select("doc_id", "_key", "term", F.explode("values").alias("entity")).join(risky, ["entity", "term"])
     own = own.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("risk") >= REMOVE, F.col("term")))).alias("removed"))
     return store(own.withColumnsRenamed({"doc_id": "_id"}), "pii-terms", n)
 
@@ -180,17 +179,20 @@ def _spanned(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     if by_doc.isEmpty():
         return rows.select("_row", "text", F.col("_base").alias("spans"), none.alias("removed"))
-    rows = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    marked = F.coalesce(F.col("text").rlike(MARK), F.lit(False))
+    others = rows.where(~marked).select("_row", "text", F.col("_base").alias("spans"), none.alias("removed"))
+    rows = rows.where(marked).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     terms = _term_spans(F.coalesce("text", F.lit("")), F.coalesce("terms", none))
     outside = F.filter(terms, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.select("_row", "text", F.concat("_base", outside).alias("spans"), F.coalesce("removed", none).alias("removed"))
+    return rows.select("_row", "text", F.concat("_base", outside).alias("spans"), F.coalesce("removed", none).alias("removed")).union(others)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """Adds `spans` (kind, start, end, value; base kinds, then terms outside base spans) and `removed` to each row.
 
     Null text has no spans. Rows keep their columns; own columns named spans or removed are replaced. Repeated rows
-    get equal spans. The table of risky documents is joined only if there are any, on (doc_id, hash of the text).
+    get equal spans. The table of risky documents is joined only if there are any, on (doc_id, hash of the text), to
+    the rows that may hold an entity.
     """
     docs = docs.drop("spans", "removed")
     return _spanned(docs).select(*row_columns(docs), "spans", "removed")

@@ -80,6 +80,15 @@ def test_terms_are_weighed_by_classes_of_documents(spark):
     assert len({classes[of[k]] for k in (80, 81, 82, 83, 90)}) == 1 and len(set(classes.values())) == len(rows) - 4
 
 
+def test_terms_in_other_lines_and_far_away_go(spark):
+    many = " ".join(["of the matter"] * 10)
+    rows = [(0, "Quillon Underhill\nquil@x.org"), (1, f"Vandermeer spoke {many} to van@x.org"), (2, "Ostrander\n\nthe matter spoke\n\nost@x.org")]
+    rows += [(10 + i, f"{i} spoke {i} of {i} the {i} matter {i} to no one") for i in range(60)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == "<TERM> <TERM>\n<EMAIL>" and clean[1] == f"<TERM> spoke {many} to <EMAIL>" and clean[2] == "<TERM>\n\nthe matter spoke\n\n<EMAIL>"
+    assert all(clean[k] == text for k, text in rows if k >= 10)
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     docs = table(spark, "documents")
     clean = pii.sanitise(docs)
