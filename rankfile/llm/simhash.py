@@ -210,8 +210,8 @@ WIDE = [(0, 0, 18), (0, 18, 18), (0, 36, 18), (1, 0, 18), (1, 18, 18), (1, 36, 1
 #: Differing bits of a proposed pair at most: in the other word, and in the fingerprint of `size`-word shingles. At
 #: similarity 0.8 they are about 5 and 10; a pair beyond either limit is one in several hundred.
 FAR, FAR_SHINGLES = 13, 18
-#: Differing bits of both words and the shingles together (about 20 at similarity 0.8), between groups of a dense
-#: signature; and how many pairs of two groups are tested first, and by how much more in each round after.
+#: Differing bits of both words and the shingles together (about 20 at similarity 0.8), for a narrower search of dense
+#: signatures than near_groups() makes; how many pairs of two groups are tested first, and how many times more each round.
 FAR_TOTAL = 32
 FEW, MORE = 64, 64
 #: Partners that a node of a dense signature is given in the first round.
@@ -270,20 +270,25 @@ def segment_of(p: np.ndarray, segment: int) -> np.ndarray:
 
 
 def meet_before(p: np.ndarray, q: np.ndarray, segment: int) -> np.ndarray:
-    """Whether fingerprint pairs (p: rows x 1 x 2, q: 1 x rows x 2) share a signature of a segment before `segment`."""
+    """Whether fingerprint pairs (p: rows x 1 x 2, q: 1 x rows x 2) share a signature of a segment before `segment`, whose
+    check word lets them pass."""
     out = np.zeros(np.broadcast_shapes(p.shape[:2], q.shape[:2]), dtype=bool)
     for word, first, width in WIDE[:segment]:
-        out |= popcount((p[..., word] ^ q[..., word]) >> np.uint64(first) & np.uint64((1 << width) - 1)) <= 1
+        met = popcount((p[..., word] ^ q[..., word]) >> np.uint64(first) & np.uint64((1 << width) - 1)) <= 1
+        out |= met & (popcount(p[..., 1 - word] ^ q[..., 1 - word]) <= FAR)
     return out
 
 
-def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int, at: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
+def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int, at: int = 0, total: int | None = FAR_TOTAL) -> tuple[np.ndarray, np.ndarray, bool]:
     """Of each two groups of a run the `most` nearest pairs of rows within the limits; whether there are more.
 
+    total None: the limits are those of a sparse signature, the check word's and the shingles'. Else both words must
+    keep theirs, and all three the total.
     prints: rows x 3 (both words, shingles); nearness counts the bits of all three. The members of the largest group
     propose nothing: the others meet them. at: the run's signature; pairs that meet in one before it are left to that.
     """
     segment, wild = divmod(at, 18)
+    check = 1 - WIDE[segment][0] if segment < len(WIDE) else 0
     order = np.argsort(groups, kind="stable")
     names, starts, sizes = np.unique(groups[order], return_index=True, return_counts=True)
     out: list[tuple[np.ndarray, np.ndarray]] = [(order[:0], order[:0])]
@@ -295,14 +300,15 @@ def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int, at: int =
         for k in range(first, first + size, 64):
             own = order[k : min(k + 64, first + size)]
             w0, w1, sh = (popcount(prints[own, None, c] ^ prints[None, :, c]) for c in range(3))
-            total = w0 + w1 + sh
-            x, y = np.nonzero((w0 <= FAR) & (w1 <= FAR) & (sh <= FAR_SHINGLES) & (total <= FAR_TOTAL) & (groups != name)[None])
+            bits = w0 + w1 + sh
+            near = (w0, w1)[check] <= FAR if total is None else (w0 <= FAR) & (w1 <= FAR) & (bits <= total)
+            x, y = np.nonzero(near & (sh <= FAR_SHINGLES) & (groups != name)[None])
             p, q = prints[own[x], None, :2], prints[None, y, :2].transpose(1, 0, 2)
             here = ~meet_before(p, q, segment)[:, 0]
             if wild:  # rows of a run that are alike in the segment met at its first wildcard
                 here &= segment_of(p, segment)[:, 0] != segment_of(q, segment)[:, 0]
             x, y = x[here], y[here]
-            held.append((own[x], y, total[x, y]))
+            held.append((own[x], y, bits[x, y]))
         x, y, d = (np.concatenate([h[c] for h in held]) for c in range(3))
         by = np.lexsort((y, d, groups[y]))
         x, y = x[by], y[by]
@@ -404,7 +410,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
                 for first, n in zip(*(x.tolist() for x in _runs(key))):
                     own = slice(first, first + n)
                     if n > DENSE and (g[own] != g[first]).any():
-                        x, y, more = nearest_between(g[own], prints[own], most, int(key[first]) >> 20)
+                        x, y, more = nearest_between(g[own], prints[own], most, int(key[first]) >> 20, None)
                         if more:  # a row of one node says so
                             x, y = np.append(x, 0), np.append(y, 0)
                         if len(x):

@@ -192,6 +192,29 @@ def test_pairs_between_groups_meet_once():
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
 
 
+def test_dense_signatures_have_the_limits_of_sparse_ones():
+    rng = np.random.default_rng(5)
+    prints = np.repeat(rng.integers(0, 1 << 63, (1, 3), dtype=np.uint64), 60, axis=0)
+    for row in prints:
+        for c, flips in enumerate((9, 7, 7)):
+            for b in rng.choice(64, rng.integers(2, flips), replace=False):
+                row[c] ^= np.uint64(1) << np.uint64(b)
+    groups = np.arange(60) // 4
+    keys, checks = simhash.wide_signatures(prints[:, :2])
+    want, found, beyond = set(), [], 0
+    for at in range(keys.shape[1]):
+        for key in np.unique(keys[:, at]):
+            run = np.flatnonzero(keys[:, at] == key)
+            a, b, _ = simhash.candidates_in_order(keys[run, at], run, checks[run, at], prints[run, 2]) if len(run) <= simhash.DENSE else (run[:0],) * 3
+            want |= {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist()) if groups[i] != groups[j]}
+            x, y, _ = simhash.nearest_between(groups[run], prints[run], 10**6, at, None)
+            found += sorted({(min(i, j), max(i, j)) for i, j in zip(run[x].tolist(), run[y].tolist())})
+    for i, j in want:
+        bits = simhash.popcount(prints[i] ^ prints[j])
+        beyond += max(bits[:2]) > simhash.FAR or bits.sum() > simhash.FAR_TOTAL
+    assert len(found) == len(set(found)) and want <= set(found) and beyond > 10
+
+
 def brute_nearest(rows, queries, k):
     rows = sorted(set(rows))
     x = np.asarray([v for _, v in rows], dtype=np.float32).astype(np.float64)
