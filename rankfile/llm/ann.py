@@ -183,7 +183,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = EF_SEAR
     asked = placed.where("q").select("vec_id", "embedding").distinct()
     asked = asked.select(F.explode(F.sequence(of_dim(0), of_dim(0) + of_dim(1) - 1)).alias("shard"), F.lit(1).alias("kind"), F.col("vec_id").alias("qid"), F.array().cast("array<long>").alias("ids"), "embedding")
     norms = {d: x[2] for d, x in base.items()}
-    small_batches(spark, 2000)
+    small_batches(spark)
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

@@ -19,6 +19,8 @@ LOCAL_SHARED = "/tmp/checkpoints/rankfile"
 BUCKET_ROWS = 20_000
 #: Tasks that write a table of known size: one for so many rows, and some at least.
 FILE_ROWS, LEAST_FILES = 1 << 20, 16
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share, as the cluster names it."""
+    """The folder that the driver and every executor share, as the cluster names it. A session on one machine (tests)
+    may name none; a cluster must, as a folder of its machines' own would lose rows."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named.rstrip("/") if named else LOCAL_SHARED
 
 
@@ -36,7 +41,8 @@ def store(df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROW
 
     This cuts the lineage (a lost executor costs no earlier stage) and gives the planner true sizes. rows: about how
     many rows `df` has at most, if known; the last stage then has a task (and a file) for each `per` of them, so that
-    small tables are not written as hundreds of files. The files go when the driver's file system closes.
+    small tables are not written as hundreds of files. The files go when the driver's file system closes, or by
+    discard().
     """
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // per)))
@@ -46,19 +52,16 @@ def store(df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROW
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = target
+    return out
 
 
-def store_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """store() with one row of each key, in buckets of the key: joins on it shuffle their other side only."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table_name = f"rankfile_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{table_name}"
-    df.repartition(parts, key).dropDuplicates([key]).write.bucketBy(parts, key).option("path", path).saveAsTable(table_name)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.table(table_name)
+def discard(*stored: DataFrame) -> None:
+    """Deletes what store() wrote, once nothing that is still to run reads it."""
+    for df in stored:
+        target = df._stored
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextlib.contextmanager
@@ -76,9 +79,9 @@ def bloom_filters(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch of whole texts holds, in bytes. Rows a batch stay as the session has them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def bucket_bits(rows: int, per_bucket: int = BUCKET_ROWS) -> int:

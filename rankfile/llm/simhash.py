@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, bloom_filters, row_columns, small_batches, store, store_by, texts
+from .common import apart, bloom_filters, discard, row_columns, small_batches, store, texts
 
 BITS = 64
 SEED = 42
@@ -174,15 +174,26 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
             yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(fps, n).view(np.int64))], names=["key", "id", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            key, i, fp = (pa.chunked_array([b.column(k) for b in rows]).to_numpy() for k in range(3))
-            a, b = links_in_order(key, i, fp.view(np.uint64), distance)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(3)]
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last signature may go on in the next batch
+            rest = [x[last:] for x in rows]
+            yield linked(*(x[:last] for x in rows))
+        if rest is not None:
+            yield linked(*rest)
+
+    def linked(key: np.ndarray, i: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = links_in_order(key, i, fp.view(np.uint64), distance)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     keys = distinct.select("id", "fp").mapInArrow(explode, "key long, id long, fp long")
-    return keys.repartition("key").mapInArrow(meet, "a long, b long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
 def classes(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
@@ -196,292 +207,294 @@ def classes(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     prints = store(fingerprints(docs, size), "fingerprints")
     n = prints.count()
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", n)
-    roots = components(store(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance), "raw-links", BITS * n))
+    roots = components(store(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance), "raw-links"))
     of = distinct.join(roots, distinct.id == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- near-duplicates by similarity: signatures propose, exact Jaccard similarity of shingle sets decides
 
-#: Segments of the two fingerprint words from which signatures are made: (word, first bit, width), and the last of
-#: both words' ends. Of 7 segments of 18 bits one differs by a bit at most for 99.6 % of pairs whose words differ so
-#: much that their five-word shingles have similarity 0.8 (about one bit in twelve), and for nearly all pairs above.
-WIDE = [(0, 0, 18), (0, 18, 18), (0, 36, 18), (1, 0, 18), (1, 18, 18), (1, 36, 18)]
-#: Differing bits of a proposed pair at most: in the other word, and in the fingerprint of `size`-word shingles. At
-#: similarity 0.8 they are about 5 and 10; a pair beyond either limit is one in several hundred.
-FAR, FAR_SHINGLES = 13, 18
-#: Differing bits of both words and the shingles together (about 20 at similarity 0.8), for a narrower search of dense
-#: signatures than near_groups() makes; how many pairs of two groups are tested first, and how many times more each round.
-FAR_TOTAL = 32
-FEW, MORE = 64, 64
-#: Partners that a node of a dense signature is given in the first round.
-NEAREST = 3
-
-
-def word_prints(words: list[bytes]) -> tuple[int, int]:
-    """Two 64-bit fingerprints over the distinct words (SimHash with two seeds)."""
-    distinct = set(words)
-    out = [majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), dtype=np.uint64, count=len(distinct))) for seed in (SEED, SEED + 1)]
-    return out[0], out[1]
-
-
-def wide_signatures(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and check words (rows x 126) of fingerprint pairs (rows x 2)."""
-    ends = (p[:, 0] >> np.uint64(54)) & np.uint64(0x1FF) | ((p[:, 1] >> np.uint64(54)) & np.uint64(0x1FF)) << np.uint64(9)
-    parts = [((p[:, w] >> np.uint64(a)) & np.uint64((1 << n) - 1), p[:, 1 - w]) for w, a, n in WIDE] + [(ends, p[:, 0])]
-    keys = np.empty((len(p), 18 * len(parts)), dtype=np.uint64)
-    checks = np.empty_like(keys)
-    for s, (part, check) in enumerate(parts):
-        for wild in range(18):
-            at = 18 * s + wild
-            keys[:, at] = (part & ~np.uint64(1 << wild)) | np.uint64(at << 20)
-            checks[:, at] = check
-    return keys, checks
-
-
-def _distances(checks: np.ndarray, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Shingle distances of the rows `at` to all rows; 255 for pairs beyond a limit."""
-    d = popcount(prints[at, None] ^ prints[None])
-    far = (popcount(checks[at, None] ^ checks[None]) > FAR) | (d > FAR_SHINGLES)
-    return np.where(far, np.uint8(255), d)
-
-
-def nearest_of_run(checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row of a dense run with its NEAREST rows, in blocks."""
-    n = len(checks)
-    out: list[tuple[np.ndarray, ...]] = []
-    for k in range(0, n, 256):
-        at = np.arange(k, min(n, k + 256))
-        d = _distances(checks, prints, at)
-        d[np.arange(len(at)), at] = 255
-        best = np.argpartition(d, NEAREST, axis=1)[:, :NEAREST]
-        value = np.take_along_axis(d, best, axis=1)
-        x, y = np.nonzero(value < 255)
-        out.append((at[x], best[x, y], value[x, y]))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
-
-
-def segment_of(p: np.ndarray, segment: int) -> np.ndarray:
-    """The bits of a segment of fingerprint pairs (last axis: the two words)."""
-    if segment == len(WIDE):
-        return (p[..., 0] >> np.uint64(54)) & np.uint64(0x1FF) | ((p[..., 1] >> np.uint64(54)) & np.uint64(0x1FF)) << np.uint64(9)
-    word, first, width = WIDE[segment]
-    return p[..., word] >> np.uint64(first) & np.uint64((1 << width) - 1)
-
-
-def meet_before(p: np.ndarray, q: np.ndarray, segment: int) -> np.ndarray:
-    """Whether fingerprint pairs (p: rows x 1 x 2, q: 1 x rows x 2) share a signature of a segment before `segment`, whose
-    check word lets them pass."""
-    out = np.zeros(np.broadcast_shapes(p.shape[:2], q.shape[:2]), dtype=bool)
-    for word, first, width in WIDE[:segment]:
-        met = popcount((p[..., word] ^ q[..., word]) >> np.uint64(first) & np.uint64((1 << width) - 1)) <= 1
-        out |= met & (popcount(p[..., 1 - word] ^ q[..., 1 - word]) <= FAR)
+#: A text's fingerprint for similarity has SEGMENTS segments of PLACES places. A place is the least value of its own
+#: permutation of the shingles' hashes, so it is alike in two texts with the probability of their similarity: at 0.8 a
+#: segment differs in one place at most with 0.737, and no segment does in 2 of a million pairs.
+SEGMENTS, PLACES = 10, 5
+#: Most shingles, and texts, of a block of a cell: what one task compares at once.
+BLOCK_SHINGLES, BLOCK_TEXTS = 2_000_000, 4096
+#: Shingles whose permutations are made at once, and words whose hashes a task keeps.
+STEP, KEPT_WORDS = 4096, 1 << 20
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (3, max(64, SEGMENTS * PLACES)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(words: list[bytes], size: int, known: dict[bytes, int]) -> np.ndarray:
+    """The distinct shingles as 64-bit hashes, mixed from the words' XXH64 (`known` keeps those met before)."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    width = min(size, len(words))
+    n = len(words) - width + 1
+    out = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        out = (out ^ h[k : k + n]) * _ODD[0, k]
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def least_places(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each permutation, over all shingles."""
+    out = np.full(SEGMENTS * PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(shingles), STEP):
+        np.minimum(out, (shingles[None, k : k + STEP] * _ODD[1, : len(out), None]).min(axis=1), out=out)
     return out
 
 
-def nearest_between(groups: np.ndarray, prints: np.ndarray, most: int, at: int = 0, total: int | None = FAR_TOTAL) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of each two groups of a run the `most` nearest pairs of rows within the limits; whether there are more.
+def place_signatures(places: np.ndarray) -> np.ndarray:
+    """For each segment and wildcard place the segment without that place, as one 64-bit key."""
+    mixed = (places.reshape(SEGMENTS, PLACES) ^ (places.reshape(SEGMENTS, PLACES) >> np.uint64(31))) * _ODD[2, : SEGMENTS * PLACES].reshape(SEGMENTS, PLACES)
+    keys = mixed.sum(axis=1, keepdims=True, dtype=np.uint64) - mixed
+    keys ^= keys >> np.uint64(32)
+    return (keys * _ODD[0, 8]).ravel()
+
 
-    total None: the limits are those of a sparse signature, the check word's and the shingles'. Else both words must
-    keep theirs, and all three the total.
-    prints: rows x 3 (both words, shingles); nearness counts the bits of all three. The members of the largest group
-    propose nothing: the others meet them. at: the run's signature; pairs that meet in one before it are left to that.
+def alike(common, a, b, similarity: float):
+    """Whether sets of sizes a and b that share `common` elements have the Jaccard similarity."""
+    return common >= similarity * (a + b - common)
+
+
+def spanning_links(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], int]:
+    """Links that join exactly what all links among `sets` join (a forest, grown breadth first), and its first root.
+
+    Each set that is met is compared with those not met yet. Growth begins at the set whose elements most others have,
+    so that in a group of near copies most are met at once.
     """
-    segment, wild = divmod(at, 18)
-    check = 1 - WIDE[segment][0] if segment < len(WIDE) else 0
-    order = np.argsort(groups, kind="stable")
-    names, starts, sizes = np.unique(groups[order], return_index=True, return_counts=True)
-    out: list[tuple[np.ndarray, np.ndarray]] = [(order[:0], order[:0])]
-    more = False
-    for name, first, size in zip(names, starts, sizes):
-        if name == names[sizes.argmax()]:
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    if len(sets) == 2:
+        fits = size.min() >= similarity * size.max()
+        return ([(0, 1)] if fits and alike(len(np.intersect1d(*sets, assume_unique=True)), *size, similarity) else []), 0
+    names, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(size)
+    of = [codes[b - n : b] for b, n in zip(ends.tolist(), size.tolist())]
+    share = np.add.reduceat(counts[codes], ends - size) / size
+    left = np.argsort(-share, kind="stable")
+    first, mark, links = int(left[0]), np.zeros(len(names), dtype=bool), []
+    queue: list[int] = []
+    flat = starts = None
+    while len(left):
+        if not queue:
+            queue, left, flat = [int(left[0])], left[1:], None
             continue
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(first, first + size, 64):
-            own = order[k : min(k + 64, first + size)]
-            w0, w1, sh = (popcount(prints[own, None, c] ^ prints[None, :, c]) for c in range(3))
-            bits = w0 + w1 + sh
-            near = (w0, w1)[check] <= FAR if total is None else (w0 <= FAR) & (w1 <= FAR) & (bits <= total)
-            x, y = np.nonzero(near & (sh <= FAR_SHINGLES) & (groups != name)[None])
-            p, q = prints[own[x], None, :2], prints[None, y, :2].transpose(1, 0, 2)
-            here = ~meet_before(p, q, segment)[:, 0]
-            if wild:  # rows of a run that are alike in the segment met at its first wildcard
-                here &= segment_of(p, segment)[:, 0] != segment_of(q, segment)[:, 0]
-            x, y = x[here], y[here]
-            held.append((own[x], y, bits[x, y]))
-        x, y, d = (np.concatenate([h[c] for h in held]) for c in range(3))
-        by = np.lexsort((y, d, groups[y]))
-        x, y = x[by], y[by]
-        start, count = _runs(groups[y]) if len(y) else (order[:0], order[:0])
-        rank = np.arange(len(y)) - np.repeat(start, count)
-        more |= bool((rank >= most).any())
-        out.append((x[rank < most], y[rank < most]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), more
-
-
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return starts, np.diff(np.append(starts, len(keys)))
-
-
-def candidates_in_order(keys: np.ndarray, ids: np.ndarray, checks: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one key and their shingle distance; a member of a dense run is also paired with itself."""
-    order = np.lexsort((ids, keys))
-    keys, ids, checks, prints = keys[order], ids[order], checks[order], prints[order]
-    starts, sizes = _runs(keys)
-    run = np.repeat(sizes, sizes)
-    out = [(ids[:0], ids[:0], ids[:0])]
-    for step in range(1, DENSE):
-        at = np.flatnonzero((run[:-step] <= DENSE) & (run[:-step] > step)) if len(keys) > step else ids[:0]
-        if not len(at):
-            break
-        at = at[keys[at] == keys[at + step]]
-        d = popcount(prints[at] ^ prints[at + step]).astype(np.int64)
-        near = (d <= FAR_SHINGLES) & (popcount(checks[at] ^ checks[at + step]) <= FAR)
-        out.append((ids[at[near]], ids[at[near] + step], d[near]))
-    for first, n in zip(starts[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist()):
-        own = slice(first, first + n)
-        x, y, d = nearest_of_run(checks[own], prints[own])
-        out += [(ids[own][x], ids[own][y], d.astype(np.int64)), (ids[own], ids[own], np.zeros(n, dtype=np.int64))]
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
-
-
-def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, node, root of each row: rows of one root are near-duplicates, directly or by a chain.
-
-    A node is a distinct sequence of lowered words (copies are one node). Deletion-variant signatures of its word
-    fingerprints propose pairs; a pair is a link if the Jaccard similarity of the sets of `size`-word shingles is at
-    least `similarity`, computed from whole texts. First each node is tested with its nearest partner; then all
-    proposed pairs whose nodes are not connected yet. In a signature that more than DENSE nodes share, a node proposes
-    its NEAREST partners only; for these signatures further rounds pair the groups found so far, each two by the FEW
-    nearest pairs of members, then by MORE times as many, until groups that are still apart have no more pairs within
-    the limits. So a large group costs rows in proportion to its members, and no candidate is left untested. Wordless and null texts are
-    one node and copies of each other. text_hash is Spark's xxhash64 of the text (null: of nothing).
-    """
+        if flat is None:
+            flat = np.concatenate([of[i] for i in left.tolist()])
+            starts = np.cumsum(size[left]) - size[left]
+        i = queue.pop(0)
+        mark[of[i]] = True
+        hit = alike(np.add.reduceat(mark[flat], starts, dtype=np.int64), size[i], size[left], similarity)
+        mark[of[i]] = False
+        if hit.any():
+            met = left[hit].tolist()
+            links += [(i, j) for j in met]
+            queue += met
+            left, flat = left[~hit], None
+    return links, first
+
+
+def _sets(batch: pa.RecordBatch, size: int, known: dict[bytes, int]) -> Iterator[np.ndarray]:
+    for text in texts(batch, "text"):
+        yield shingle_set(lowered_words(text), size, known)
+
+
+def _in_cells(size: int, similarity: float):
+    """mapInArrow over (cell, block, nid, text), sorted: links of each block and, as (cell, null, nid), its first root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        at, ids, sets, rows = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            rows.clear()
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["cell", "a", "b"])
+
+        def close() -> None:
+            links, first = spanning_links(sets, similarity) if len(sets) > 1 else ([], 0)
+            rows.extend((at[0], ids[i], ids[j]) for i, j in links)
+            rows.append((at[0], None, ids[first]))
+
+        for batch in batches:
+            for cell, block, nid, own in zip(*(batch.column(k).to_pylist() for k in range(3)), _sets(batch, size, known)):
+                if at != (cell, block):
+                    if ids:
+                        close()
+                    at, ids, sets = (cell, block), [], []
+                if not ids or ids[-1] != nid:  # a repeated row is one text
+                    ids.append(nid)
+                    sets.append(own)
+            yield out()
+        if ids:
+            close()
+            yield out()
+
+    return run
+
+
+def _across_blocks(size: int, similarity: float):
+    """mapInArrow over (cell, block, held, nid, root, text), sorted: links between the held texts of a block and all
+    texts of its cell, which pass by one after another; of links that join the same groups one is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        at, ids, sets, roots, joined = None, [], [], [], {}
+        order = flat = starts = lengths = None
+
+        def top(r: int) -> int:
+            while joined.get(r, r) != r:
+                r = joined[r]
+            return r
+
+        for batch in batches:
+            a: list[int] = []
+            b: list[int] = []
+            for cell, block, held, nid, root, own in zip(*(batch.column(k).to_pylist() for k in range(5)), _sets(batch, size, known)):
+                if at != (cell, block):
+                    at, ids, sets, roots, joined, flat = (cell, block), [], [], [], {}, None
+                if held == 0:
+                    if not ids or ids[-1] != nid:
+                        ids.append(nid)
+                        sets.append(own)
+                        roots.append(root)
+                    continue
+                if not ids:
+                    continue
+                if flat is None:
+                    order, codes = np.unique(np.concatenate(sets), return_inverse=True)
+                    lengths = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+                    flat, starts = codes, np.cumsum(lengths) - lengths
+                place = np.searchsorted(order, own)
+                place = place[(place < len(order)) & (order[np.minimum(place, len(order) - 1)] == own)]
+                mark = np.zeros(len(order), dtype=bool)
+                mark[place] = True
+                for i in np.flatnonzero(alike(np.add.reduceat(mark[flat], starts, dtype=np.int64), len(own), lengths, similarity)).tolist():
+                    x, y = top(roots[i]), top(root)
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        a.append(ids[i])
+                        b.append(nid)
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _fetched(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (nid and others) with each node's text; texts that no row of it wants are spared the shuffle."""
+    keyed = nodes.select(F.col("nid").alias("_n"), F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash"))
+    asked = wanted.groupBy("nid").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "nid"])).alias("_at"))
+    asked = store(asked.join(keyed, F.col("nid") == F.col("_n")).drop("_n"), "near-asked")
+    # the comparison holds for every nid; it tells the planner that a Bloom filter of `asked` may go before the shuffle
+    some = asked.where(F.col("nid") >= 0)
+    read = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")))
+    return read.select("nid", "text", F.explode("_at").alias("_at")).select("nid", "_at.*", "text")
+
+
+def near_nodes(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """nid, of (doc_id and text_hash of the row of the smallest doc_id), shingles, keys of each distinct sequence of
+    lowered words, which two 64-bit hashes tell apart; and (_id, _hash) of the rows that are repeated. Both are stored;
+    nid is a number given on writing."""
     small_batches(docs.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            node, p = [], np.empty((3, batch.num_rows), dtype=np.uint64)
-            for k, text in enumerate(texts(batch, "text")):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for text in texts(batch, "text"):
                 words = lowered_words(text)
-                node.append(xxhash.xxh64_intdigest(b" ".join(words)))
-                p[:, k] = *word_prints(words), majority(hash_shingles(words, size))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.asarray(node, dtype=np.uint64).view(np.int64)), *(pa.array(x.view(np.int64)) for x in p)], names=["doc_id", "text_hash", "node", "p0", "p1", "s"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(prints, "doc_id long, text_hash long, node long, p0 long, p1 long, s long")
+                joined, own = b" ".join(words), shingle_set(words, size, known)
+                both = xxhash.xxh3_128_digest(joined)
+                keys = place_signatures(least_places(own)).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64)
+                for column, value in zip(out, (int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True), len(own), keys)):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "text_hash", "h0", "h1", "shingles", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(prints, "doc_id long, text_hash long, h0 long, h1 long, shingles long, keys array<long>")
     rows = store(rows, "near-rows")
-    n = rows.count()
-    # one text stands for each node
-    nodes = store(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), *[F.first(c).alias(c) for c in ("p0", "p1", "s")]), "near-nodes", n)
+    same = rows.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    nodes = store(same.select(F.monotonically_increasing_id().alias("nid"), "of", "shingles", "keys"), "near-nodes")
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = store(repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "near-repeated")
+    discard(rows)
+    return nodes, repeated
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, checks = wide_signatures(np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1).view(np.uint64))
-            i, sh = (np.repeat(batch.column(k).to_numpy(), keys.shape[1]) for k in (0, 3))
-            yield pa.record_batch([pa.array(x.ravel().view(np.int64)) for x in (keys, i, checks, sh)], names=["key", "id", "check", "s"])
 
-    def explode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, _ = wide_signatures(np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1).view(np.uint64))
-            rest = [pa.array(np.repeat(c.to_numpy(), keys.shape[1])) for c in batch.columns]
-            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), *rest], names=["key", "id", "p0", "p1", "s", "g"])
-
-    def unique(*columns: np.ndarray) -> pa.RecordBatch:
-        a, b, *rest = columns
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), *rest]), axis=1)
-        return pa.record_batch([pa.array(x) for x in pairs], names=["a", "b", "d"][: len(pairs)])
-
-    def held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        kept = [b for b in batches if b.num_rows]
-        return [pa.chunked_array([b.column(k) for b in kept]).to_numpy() for k in range(kept[0].num_columns)] if kept else []
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if columns := held(batches):
-            key, i, check, s = columns
-            yield unique(*candidates_in_order(key, i, check.view(np.uint64), s.view(np.uint64)))
-
-    def between(most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if columns := held(batches):
-                order = np.argsort(columns[0], kind="stable")
-                key, i, *prints, g = (c[order] for c in columns)
-                prints = np.stack(prints, axis=1).view(np.uint64)
-                for first, n in zip(*(x.tolist() for x in _runs(key))):
-                    own = slice(first, first + n)
-                    if n > DENSE and (g[own] != g[first]).any():
-                        x, y, more = nearest_between(g[own], prints[own], most, int(key[first]) >> 20, None)
-                        if more:  # a row of one node says so
-                            x, y = np.append(x, 0), np.append(y, 0)
-                        if len(x):
-                            yield unique(i[own][x], i[own][y])
-
-        return run
-
-    found = nodes.select("node", "p0", "p1", "s").mapInArrow(explode, "key long, id long, check long, s long").repartition("key")
-    found = store(found.mapInArrow(propose, "a long, b long, d long").distinct(), "near-pairs", 126 * n)
-    pairs = found.where("a <> b")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [np.unique(hash_shingles(lowered_words(t), size)).view(np.int64) for t in texts(batch, "text")]
-            yield pa.record_batch([batch.column(0), pa.array(each, pa.list_(pa.int64()))], names=["id", "set"])
-
-    asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(nodes.select("node", "of"), "node")
-    asked = store(asked.select(F.col("node").alias("id"), F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash")), "near-asked", n)
-    # the comparison holds for every id; it tells the planner that a Bloom filter of `asked` may spare texts the shuffle
-    some_ids = asked.where(F.col("id") >= F.lit(-(1 << 63)))
-    read = docs.select("doc_id", "text").join(some_ids, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))).select("id", "text")
-    # dealt out by id once; the joins below find it so
-    with bloom_filters(docs.sparkSession):
-        known = store_by(read.mapInArrow(sets, "id long, set array<long>"), "near-sets", "id")
-
-    def links(some: DataFrame) -> DataFrame:
-        left, right = known.select(F.col("id").alias("a"), F.col("set").alias("x")), known.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        like = some.select("a", "b").distinct().join(left, "a").join(right, "b").where((F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))) & (both >= similarity * (F.size("x") + F.size("y") - both)))
-        return store(like.select("a", "b"), "near-links", n)
-
-    each = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
-    first = links(each.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")))
-
-    def grouped(linked: DataFrame) -> DataFrame:
-        roots = components(linked)
-        return store(nodes.select("node", "p0", "p1", "s").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "p0", "p1", "s", F.coalesce("root", "node").alias("g")), "near-round", n)
-
-    def apart_in(groups: DataFrame, some: DataFrame) -> DataFrame:
-        of = lambda c: groups.select(F.col("node").alias(c), F.col("g").alias(f"g_{c}"))
-        return some.join(of("a"), "a").join(of("b"), "b").where("g_a <> g_b")
-
-    linked = first.union(links(apart_in(grouped(first), pairs)))
-    dense = found.where("a = b").select(F.col("a").alias("_n")).distinct()
-    most, more = FEW, not dense.isEmpty()
-    while more:
-        groups = grouped(linked)
-        again = groups.join(dense, F.col("node") == F.col("_n"), "left_semi")
-        keyed = again.select("node", "p0", "p1", "s", "g").mapInArrow(explode_all, "key long, id long, p0 long, p1 long, s long, g long")
-        met = store(keyed.repartition("key").mapInArrow(between(most), "a long, b long").distinct(), "near-rest", 126 * n)
-        linked = linked.union(links(apart_in(groups, met)))
-        most, more = most * MORE, not met.where("a = b").isEmpty()
-    roots = components(linked).withColumnRenamed("node", "_node")
-    return store(rows.join(roots, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root")), "near-groups", n)
+def near_links(docs: DataFrame, nodes: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between nodes, in which all pairs are connected that share a signature and have the similarity.
+
+    A cell is what shares signatures of one least node: texts that share any signature share a cell. A cell's texts
+    are dealt to blocks of bounded size; a task compares a block's texts by their whole shingle sets and gives a
+    spanning forest, so no pairs are ever written. Of a cell of several blocks first the blocks' roots are compared;
+    then the texts outside its largest group, block by block, with all texts of the cell.
+    """
+    spark = docs.sparkSession
+    keys = nodes.select(F.explode("keys").alias("key"), "nid")
+    shared = store(keys.groupBy("key").agg(F.min("nid").alias("cell"), F.max("nid").alias("last")).where("cell <> last").drop("last"), "near-shared")
+    with bloom_filters(spark):  # most keys are shared with none
+        met = store(keys.join(shared.where(F.col("cell") >= 0), "key").select("cell", "nid").distinct(), "near-cells")
+    weighed = met.join(nodes.select(F.col("nid").alias("_n"), "shingles"), F.col("nid") == F.col("_n")).drop("_n")
+    blocks = F.greatest(F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS))
+    large = store(weighed.groupBy("cell").agg(blocks.alias("_blocks")).where("_blocks > 1").withColumnRenamed("cell", "_large"), "near-large")
+
+    def dealt(members: DataFrame) -> DataFrame:
+        block = F.coalesce(F.pmod(F.xxhash64("nid", F.lit(SEED)), F.col("_blocks")), F.lit(0))
+        return members.join(large, F.col("cell") == F.col("_large"), "left").select("nid", "cell", block.alias("block"))
+
+    def compared(members: DataFrame, name: str) -> DataFrame:
+        with bloom_filters(spark):
+            read = _fetched(docs, nodes, members).select("cell", "block", "nid", "text")
+            return store(read.repartition("cell", "block").sortWithinPartitions("cell", "block", "nid").mapInArrow(_in_cells(size, similarity), "cell long, a long, b long"), name)
+
+    found = compared(dealt(met), "near-links")
+    links = found.where("a IS NOT NULL").select("a", "b")
+    if large.isEmpty():
+        return links
+    centres = found.where("a IS NULL").join(large, F.col("cell") == F.col("_large"), "left_semi").select(F.col("b").alias("nid"), "cell", F.lit(0).cast("long").alias("block"))
+    links = links.union(compared(centres, "near-links").where("a IS NOT NULL").select("a", "b"))
+    # what is outside the largest group of its cell meets all of the cell
+    members = met.join(large, F.col("cell") == F.col("_large"), "left_semi").join(components(links).withColumnsRenamed({"node": "_n"}), F.col("nid") == F.col("_n"), "left")
+    members = store(members.select("cell", "nid", F.coalesce("root", "nid").alias("root")), "near-members")
+    counts = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    most = counts.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    outside = members.join(most, "cell").where("root <> most").select("cell", "nid", "root")
+    outside = outside.join(nodes.select(F.col("nid").alias("_n"), "shingles"), F.col("nid") == F.col("_n")).drop("_n")
+    parts = store(outside.groupBy("cell").agg(blocks.cast("int").alias("parts")), "near-parts")
+    held = outside.join(parts, "cell").select("nid", "cell", F.pmod(F.xxhash64("nid", F.lit(SEED)), F.col("parts")).alias("block"), F.lit(0).alias("held"), "root")
+    passing = members.join(parts, "cell").select("nid", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("block"), F.lit(1).alias("held"), "root")
+    with bloom_filters(spark):
+        read = _fetched(docs, nodes, held.union(passing)).select("cell", "block", "held", "nid", "root", "text")
+        more = read.repartition("cell", "block").sortWithinPartitions("cell", "block", "held", "nid").mapInArrow(_across_blocks(size, similarity), "a long, b long")
+        return links.union(store(more, "near-links"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` (all columns) without near-duplicates: of each group the row of the smallest doc_id stays.
 
-    Repeated rows (same doc_id and text) leave one. Other columns pass through, whatever their names.
+    Texts whose sets of `size`-word shingles (of lowered words) have the Jaccard `similarity` are linked, and a group
+    is what links connect. One-wildcard signatures of min-wise fingerprints propose, whole texts decide; see
+    near_links(). Wordless and null texts are copies of each other; a text of fewer than `size` words is one shingle.
+    Texts of any length are compared whole: a very long one is a block of its own. Ties in doc_id go to the smaller
+    hash of the text, repeated rows (same doc_id and text) leave one, that of the least hash of the row. An empty
+    table gives no rows. Other columns pass through, whatever their names.
     """
-    groups = near_groups(docs, size, similarity)
-    n = groups.count()
-    stay = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
-    stay = store(stay, "near-stay", n)
+    nodes, repeated = near_nodes(docs, size)
+    roots = components(near_links(docs, nodes, size, similarity)).withColumnsRenamed({"node": "_n"})
+    grouped = nodes.select("nid", "of").join(roots, F.col("nid") == F.col("_n"), "left").groupBy(F.coalesce("root", "nid").alias("g")).agg(F.min("of").alias("s"))
+    stay = store(grouped.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash")), "near-stay")
     key = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash"))
     out = apart(docs, F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t")).join(stay, key, "left_semi")
-    repeated = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     if repeated.isEmpty():
         return out.select(*row_columns(docs))
-    repeated = store(repeated, "near-repeated", n)
-    first = Window.partitionBy("_d", "_t").orderBy(F.lit(0))
+    first = Window.partitionBy("_d", "_t").orderBy(F.xxhash64("_row"))
     many = out.join(repeated, key, "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1")
     return out.join(repeated, key, "left_anti").select(*row_columns(docs)).union(many.select(*row_columns(docs)))

@@ -166,53 +166,81 @@ def test_near_duplicates_by_similarity(spark):
     assert simhash.drop_near_duplicates(docs.where("false")).count() == 0
 
 
-def test_pairs_between_groups_meet_once():
-    rng = np.random.default_rng(0)
-    prints = np.tile(rng.integers(0, 1 << 63, size=3, dtype=np.uint64), (90, 1))
-    for row in prints:
-        for c in range(3):
-            for b in rng.choice(64, size=4, replace=False):
-                row[c] ^= np.uint64(1) << np.uint64(b)
-    groups = np.arange(90) % 7
-    groups[:45] = 0
-    keys, _ = simhash.wide_signatures(prints[:, :2])
-    bits = np.bitwise_count(prints[:, None] ^ prints[None])
-    near = (bits[..., 0] <= simhash.FAR) & (bits[..., 1] <= simhash.FAR) & (bits[..., 2] <= simhash.FAR_SHINGLES) & (bits.sum(axis=2) <= simhash.FAR_TOTAL)
-    share = (keys[:, None] == keys[None]).any(axis=2)
-    want = {(i, j) for i, j in zip(*np.nonzero(near & share)) if i < j and groups[i] != groups[j]}
-    found = []
-    for at in range(keys.shape[1]):
-        for key in np.unique(keys[:, at]):
-            run = np.flatnonzero(keys[:, at] == key)
-            x, y, more = simhash.nearest_between(groups[run], prints[run], 10**6, at)
-            assert not more
-            found += sorted({(min(i, j), max(i, j)) for i, j in zip(run[x], run[y])})
-            few, _, more = simhash.nearest_between(groups[run], prints[run], 1, at)
-            assert len(few) <= len(x) and (more or len(few) == len(x))
-    assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
-
-
-def test_dense_signatures_have_the_limits_of_sparse_ones():
-    rng = np.random.default_rng(5)
-    prints = np.repeat(rng.integers(0, 1 << 63, (1, 3), dtype=np.uint64), 60, axis=0)
-    for row in prints:
-        for c, flips in enumerate((9, 7, 7)):
-            for b in rng.choice(64, rng.integers(2, flips), replace=False):
-                row[c] ^= np.uint64(1) << np.uint64(b)
-    groups = np.arange(60) // 4
-    keys, checks = simhash.wide_signatures(prints[:, :2])
-    want, found, beyond = set(), [], 0
-    for at in range(keys.shape[1]):
-        for key in np.unique(keys[:, at]):
-            run = np.flatnonzero(keys[:, at] == key)
-            a, b, _ = simhash.candidates_in_order(keys[run, at], run, checks[run, at], prints[run, 2]) if len(run) <= simhash.DENSE else (run[:0],) * 3
-            want |= {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist()) if groups[i] != groups[j]}
-            x, y, _ = simhash.nearest_between(groups[run], prints[run], 10**6, at, None)
-            found += sorted({(min(i, j), max(i, j)) for i, j in zip(run[x].tolist(), run[y].tolist())})
-    for i, j in want:
-        bits = simhash.popcount(prints[i] ^ prints[j])
-        beyond += max(bits[:2]) > simhash.FAR or bits.sum() > simhash.FAR_TOTAL
-    assert len(found) == len(set(found)) and want <= set(found) and beyond > 10
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_block_edits_and_chains_are_found(spark, monkeypatch):
+    """Appended, cut and replaced stretches at a similarity of 0.80 to 0.90, and chains of them, against all pairs."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, size=5))
+    rows = []
+    for k in range(150):
+        n = int(rng.integers(60, 400))
+        words = [word() for _ in range(n)]
+        rows.append(words)
+        for _ in range(3):
+            m = int(n * rng.uniform(0.11, 0.26))
+            kind = int(rng.integers(0, 4))
+            words = rows[-1] if kind == 3 else rows[-1 - (len(rows) - 1) % 4]
+            m = min(m, len(words) // 4)
+            new = [word() for _ in range(m)]
+            rows.append(words + new if kind == 0 else words[:-m] if kind == 1 else words[: m // 2] + new[: m // 2] + words[m // 2 * 2 :] if kind == 2 else new[: m // 2] + words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    near = [(i, j) for j in range(len(rows)) for i in range(max(0, j - 4), j) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert sum(jaccard(sets[i], sets[j]) < 0.85 for i, j in near) > 60
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    want = sorted({r for r in brute_roots(range(len(rows)), near)})
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == want
+
+
+@pytest.mark.parametrize("texts_a_block", [3, 16, 4096])
+def test_large_cells_in_blocks(spark, monkeypatch, texts_a_block):
+    """One passage in all texts, groups of near copies beside it: blocks of any size give the same groups."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", texts_a_block)
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, size=5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for k in range(12):
+        own = [word() for _ in range(20)]
+        for _ in range(4):
+            words = passage + own
+            for i in rng.choice(len(words), size=int(rng.integers(0, 3)), replace=False):
+                words[int(i)] = word()
+            rows.append(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    linked = [(i, j) for j in range(len(rows)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)] + [(99, "one two")], "doc_id long, text string")
+    want = sorted({*brute_roots(range(len(rows)), linked), 99})
+    assert 12 < len(want) < 46
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == want
+
+
+def test_spanning_links_join_what_all_links_join():
+    rng = np.random.default_rng(10)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 60, size=40, dtype=np.uint64)
+        sets = []
+        for _ in range(int(rng.integers(2, 14))):
+            own = base.copy()
+            own[rng.choice(40, size=int(rng.integers(0, 9)), replace=False)] = rng.integers(0, 1 << 60, dtype=np.uint64)
+            sets.append(np.unique(own))
+        all_links = [(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        links, _ = simhash.spanning_links(sets, 0.8)
+        assert brute_roots(range(len(sets)), links) == brute_roots(range(len(sets)), all_links) and len(links) < len(sets)
+
+
+def test_signatures_of_places_meet_at_the_similarity():
+    rng = np.random.default_rng(11)
+    met, signed = 0, 0
+    for _ in range(2000):
+        base = rng.integers(0, 1 << 63, size=90, dtype=np.uint64)
+        other = np.concatenate((base[:80], rng.integers(0, 1 << 63, size=10, dtype=np.uint64)))  # similarity 0.8
+        a, b = simhash.least_places(base), simhash.least_places(other)
+        signed += (a == b).mean()
+        met += bool(np.intersect1d(simhash.place_signatures(a), simhash.place_signatures(b)).size)
+    assert met == 2000 and abs(signed / 2000 - 0.8) < 0.01
 
 
 def brute_nearest(rows, queries, k):
