@@ -151,6 +151,28 @@ def test_mix(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_rows(empty(spark)).count() == 0
 
 
+def test_budget_of_a_large_corpus():
+    lengths, counts, budget = np.array([10, 20, 30]), np.array([4 * 10**9, 10**9, 2 * 10**9]), 9 * 10**10
+    take = mixing.fit_budget(lengths, counts, budget)
+    assert (take * lengths).sum() == budget and (np.abs(take - counts * 0.75) <= 10).all()
+    lengths, counts = np.arange(1, 3001) * 7, np.full(3000, 10**12, dtype=np.int64) // np.arange(1, 3001)
+    budget = int((lengths * counts).sum()) // 3 + 12345
+    take = mixing.fit_budget(lengths, counts, budget)
+    assert ((0 <= take) & (take <= counts)).all() and 0 <= budget - int((take * lengths).sum()) < 7
+    assert (np.abs(take - counts * (budget / int((lengths * counts).sum()))) <= 1e-6 * counts + 10_000).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_goals_of_many_sources(spark, n):
+    rng = np.random.default_rng(n)
+    sizes = {f"s{int(x)}\u00e9": int(10 ** rng.uniform(0, 5)) for x in rng.choice(1000, size=n, replace=False)} | {None: 50}
+    hist = spark.createDataFrame([(s, z, 1) for s, z in sizes.items()], "source string, size long, n long")
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, brute_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5, 2)))
+    got = {r["source"]: r["target"] for r in mixing.goals(hist, (5, 2, 1), 1.5, 2).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_shards(spark):
     for docs in (awkward(spark), table(spark, "documents"), table(spark, "documents", "/root/testdata/sf0.01")):
         rows = sharding.kd_shards(docs, 16).collect()
