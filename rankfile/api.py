@@ -17,6 +17,7 @@ from .operators.replay import columns, replay
 from .plans import legal_moves_table, move_to_game, moves_table, numbered_games, position_to_game, positions_table
 from .plans.tables import game_totals
 from .sources import from_arrow, from_strings, from_table
+from .stored import stored
 
 _PROMOTION = {2: "n", 3: "b", 4: "r", 5: "q"}
 
@@ -107,16 +108,17 @@ class GameView:
 
     def __repr__(self) -> str:
         h = self.headers
-        return f"<GameView {h.get('White', '?')} vs {h.get('Black', '?')}, {len(self)} moves, valid={self.is_valid}>"
+        return f"<PyGameView {h.get('White', '?')} vs {h.get('Black', '?')}, {len(self)} moves, valid={self.is_valid}>"
 
 
 @dataclass
 class ChunkView:
-    """The games of one partition as flat NumPy arrays with offsets (n + 1, from 0)."""
+    """The games of one partition as flat NumPy arrays with offsets (n + 1, from 0; 64 bits, as a chunk may be any size)."""
 
     rows: list[dict]
     stored_comments: bool
     stored_legal: bool
+    index: int = 0
 
     def _flat(self, outer: str, name: str) -> list:
         return [x[name] for r in self.rows for x in r[outer]]
@@ -171,7 +173,7 @@ class ChunkView:
         return np.concatenate(([0], np.cumsum([len(x) for x in self._flat("positions", "legal_moves")]))).astype(np.int64) if self.stored_legal else np.zeros(0, dtype=np.int64)
 
     def __repr__(self) -> str:
-        return f"<ChunkView {self.num_games} games, {self.num_moves} moves, {self.num_positions} positions>"
+        return f"<PyChunkView chunk={self.index}, {self.num_games} games, {self.num_moves} moves, {self.num_positions} positions>"
 
 
 class ParsedGames:
@@ -247,13 +249,17 @@ class ParsedGames:
             d = row.asDict(recursive=True)
             by.setdefault(d.pop("_part"), []).append(d)
         parts = sorted(by.values(), key=lambda rows: rows[0]["game_index"]) or [[]]
-        return [ChunkView(rows, self.stored_comments, self.stored_legal) for rows in parts]
+        return [ChunkView(rows, self.stored_comments, self.stored_legal, k) for k, rows in enumerate(parts)]
+
+    @cached_property
+    def _ranges(self) -> DataFrame:
+        return stored(self.games.select("game_index", "move_offset", "position_offset", "num_moves", "num_positions"), "ranges")
 
     def _map(self, index: Iterable[int], lookup, name: str) -> np.ndarray:
         values = np.asarray(index).ravel().astype(np.int64)
         spark = self.games.sparkSession
         queries = spark.createDataFrame(list(enumerate(values.tolist())), f"k long, {name} long")
-        rows = lookup(queries, self.games.select("game_index", "move_offset", "position_offset", "num_moves", "num_positions"), name).orderBy("k").collect()
+        rows = lookup(queries, self._ranges, name).orderBy("k").collect()
         return np.asarray([r["game_index"] for r in rows], dtype=np.int64)
 
     def position_to_game(self, index: Iterable[int]) -> np.ndarray:
@@ -262,8 +268,18 @@ class ParsedGames:
     def move_to_game(self, index: Iterable[int]) -> np.ndarray:
         return self._map(index, move_to_game, "move_index")
 
+    def close(self) -> None:
+        """Frees the replayed games that were kept; what is asked for afterwards is replayed anew."""
+        self.games.unpersist()
+
+    def __enter__(self) -> ParsedGames:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def __repr__(self) -> str:
-        return f"<ParsedGames {self.num_games} games, {self.num_moves} moves, {self.num_positions} positions, {self.num_chunks} chunks>"
+        return f"<ParsedGames: {self.num_games} games, {self.num_moves} moves, {self.num_positions} positions, {self.num_chunks} chunks>"
 
 
 def _parts(spark: SparkSession, num_threads: int | None, chunk_multiplier: int | None) -> int | None:

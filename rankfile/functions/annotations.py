@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The same three patterns as in operators.annotate, in Java syntax.
+from .binding import let
+
+#: The same patterns as in operators.annotate, in Java syntax; the tag's, by its name.
 PREFIX = r"^(?:\[%[^\]]++\]|[^\[]++|\[(?!%))*+"
 ITEMS = r"\[%[^\]]+\]|(?:[^\[]++|\[(?!%))++"
-TAG = r"^\[%(?:eval[ \t\n\f\r]+(?:#(-?[0-9]+)|([+-]?[0-9]+(?:\.[0-9]+)?))|clk[ \t\n\f\r]+([0-9]+):([0-9]+):([0-9]+(?:\.[0-9]+)?))\]$"
+MATE = r"^\[%eval[ \t\n\f\r]+#(-?[0-9]+)\]$"
+EVAL = r"^\[%eval[ \t\n\f\r]+([+-]?[0-9]+(?:\.[0-9]+)?)\]$"
+CLOCK = r"^\[%clk[ \t\n\f\r]+([0-9]+):([0-9]+):([0-9]+(?:\.[0-9]+)?)\]$"
 
 
 def _item(x: Column) -> Column:
-    part = lambda k: F.nullif(F.regexp_extract(x, TAG, k), F.lit(""))
-    mate = part(1).try_cast("int")
-    value = part(2).cast("double")
-    hours, minutes = part(3).try_cast("long"), part(4).try_cast("int")
-    timed = (hours < (1 << 32)) & (minutes < 256)
-    hours = F.when(timed, hours)
-    kind = F.when(mate.isNotNull(), "mate").when(value.isNotNull(), "eval").when(hours.isNotNull(), "clk").otherwise("text")
-    return F.struct(
-        kind.alias("kind"), F.when(kind == "text", x).alias("text"), value.alias("eval"), mate.alias("mate"),
-        hours.alias("hours"), F.when(timed, minutes).alias("minutes"), F.when(timed, part(5).cast("double")).alias("seconds"),
+    def part(tag: str, pattern: str, k: int) -> Column:  # only a tag of that name is matched
+        return F.when(x.startswith(tag), F.nullif(F.regexp_extract(x, pattern, k), F.lit("")))
+
+    read = F.struct(
+        part("[%eval", MATE, 1).try_cast("int").alias("mate"), part("[%eval", EVAL, 1).cast("double").alias("eval"),
+        *[part("[%clk", CLOCK, k).alias(name) for k, name in ((1, "h"), (2, "m"), (3, "s"))],
     )
 
+    def typed(p: Column) -> Column:
+        hours, minutes = p["h"].try_cast("long"), p["m"].try_cast("int")
+        timed = (hours < (1 << 32)) & (minutes < 256)
+        kind = F.when(p["mate"].isNotNull(), "mate").when(p["eval"].isNotNull(), "eval").when(timed, "clk").otherwise("text")
+        return F.struct(
+            kind.alias("kind"), F.when(kind == "text", x).alias("text"), p["eval"].alias("eval"), p["mate"].alias("mate"),
+            F.when(timed, hours).alias("hours"), F.when(timed, minutes).alias("minutes"), F.when(timed, p["s"].cast("double")).alias("seconds"),
+        )
+
+    return let(read, typed)
+
 
 def annotation_items(comment: Column) -> Column:
     """The comment's items in order: array of (kind, text, eval, mate, hours, minutes, seconds); null stays null."""
@@ -34,30 +45,48 @@ def _last(items: Column, kind: str) -> Column:
     return F.try_element_at(F.filter(items, lambda i: i["kind"] == kind), F.lit(-1))
 
 
-def comment_eval(comment: Column) -> Column:
-    """The last evaluation in pawns as a float; null without one (mates are text)."""
-    return _last(annotation_items(comment), "eval")["eval"].cast("float")
-
-
 def clock_seconds(hours: Column, minutes: Column, seconds: Column) -> Column:
     """h * 3600 + m * 60 + s, each step in 32-bit floats."""
     f = lambda c: c.cast("float")
     return f(hours) * f(F.lit(3600)) + f(minutes) * f(F.lit(60)) + f(seconds)
 
 
-def comment_clock(comment: Column) -> Column:
+def items_eval(items: Column) -> Column:
+    """The last evaluation in pawns as a float; null without one (mates are text)."""
+    return _last(items, "eval")["eval"].cast("float")
+
+
+def items_clock(items: Column) -> Column:
     """The last clock in seconds as a float; null without one."""
-    item = _last(annotation_items(comment), "clk")
-    return clock_seconds(item["hours"], item["minutes"], item["seconds"])
+    return let(_last(items, "clk"), lambda i: clock_seconds(i["hours"], i["minutes"], i["seconds"]))
 
 
-def comment_text(comment: Column) -> Column:
+def items_text(items: Column) -> Column:
     """What is left of a comment as text: values go, mates are written [Mate n], pieces are joined by one blank."""
 
     def put(acc: Column, i: Column) -> Column:
         mate = F.concat(acc, F.when((acc != "") & ~acc.endswith(" "), " ").otherwise(""), F.lit("[Mate "), i["mate"].cast("string"), F.lit("]"))
         text = F.concat(acc, F.when(acc != "", " ").otherwise(""), i["text"])
-        blank = F.regexp_replace(F.coalesce(i["text"], F.lit("")), r"(?U)\s+", "") == ""
-        return F.when(i["kind"] == "mate", mate).when((i["kind"] == "text") & ~blank, text).otherwise(acc)
+        return F.when(i["kind"] == "mate", mate).when((i["kind"] == "text") & i["text"].rlike(r"(?U)\S"), text).otherwise(acc)
+
+    return F.aggregate(items, F.lit(""), put)
+
+
+def annotation(comment: Column) -> Column:
+    """(eval, clock, text, items) of a comment, read once; null stays null."""
+    return let(annotation_items(comment), lambda i: F.when(i.isNotNull(), F.struct(items_eval(i).alias("eval"), items_clock(i).alias("clock"), items_text(i).alias("text"), i.alias("items"))))
+
+
+def comment_eval(comment: Column) -> Column:
+    """items_eval() of a comment; where more of it is asked for, annotation() reads it once."""
+    return let(annotation_items(comment), items_eval)
+
+
+def comment_clock(comment: Column) -> Column:
+    """items_clock() of a comment."""
+    return let(annotation_items(comment), items_clock)
+
 
-    return F.aggregate(annotation_items(comment), F.lit(""), put)
+def comment_text(comment: Column) -> Column:
+    """items_text() of a comment."""
+    return let(annotation_items(comment), items_text)

@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 
 OUTCOMES = {"1-0": "White", "0-1": "Black", "1/2-1/2": "Draw", "*": "Unknown"}
 _ROLES = " PNBRQK"
-_TAG = re.compile(r'\s*\[\s*([^\s\]"]+)\s*"((?:[^"\\\n]|\\.)*)"\s*\][ \t]*\r?(?:\n|\Z)?')
+#: Lines that begin with % are no part of a game.
+_ESCAPED = r"(?:\s*(?<![^\n])%[^\n]*(?:\n|\Z))*"
+_TAG = re.compile(_ESCAPED + r'\s*\[\s*([^\s\]"]+)\s*"((?:[^"\\\n]|\\.)*)"\s*\][ \t]*\r?(?:\n|\Z)?')
 _SAN = re.compile(r"([NBRQK])?([a-h])?([1-8])?[-:]?(x)?([a-h])([1-8])(?:=?([NBRQnbrq]))?")
 _NUMBER = re.compile(r"\d+\.*")
-_PART = re.compile(r"\{([^}]*)(\}?)|;[^\n]*|[()]|\n(?=[ \t\r]*\n|\[)|[^\s(){};]+")
+_PART = re.compile(r"(?<![^\n])%[^\n]*|\{([^}]*)(\}?)|;[^\n]*|[()]|\n(?=[ \t\r]*\n|\[)|[^\s(){};]+")
 
 #: Values of a token that is no move.
 SKIP, OUTCOME, ILLEGAL = -1, -2, -3
@@ -97,7 +99,7 @@ def read_game(text: str) -> Game | None:
     if not body and not tags:
         return None
     game = Game(tags)
-    if not any(c in body for c in "{(;") and "\n\n" not in body and "\n[" not in body and "\r" not in body:
+    if not any(c in body for c in "{(;") and "\n\n" not in body and "\n[" not in body and "\r" not in body and "\n%" not in body and body[:1] != "%":
         game.tokens = body.split()
         codes = list(map(code_of, game.tokens))
         if OUTCOME in codes:
@@ -121,7 +123,7 @@ def read_game(text: str) -> Game | None:
             depth = max(0, depth - 1)
         elif head == "\n":
             break
-        elif head in ";$" or depth:
+        elif head in ";$%" or depth:
             continue
         else:
             code = code_of(part)

@@ -250,3 +250,25 @@ def replay(df: DataFrame, movetext: str = "movetext", positions: bool = True, co
     fields = schema.game_fields(positions, comments, legal_moves, status)
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.where(F.col(movetext).isNotNull()).mapInArrow(run, f"{given}, {fields}")
+
+
+def rejected(df: DataFrame, movetext: str = "movetext") -> DataFrame:
+    """The rows of `df` that replay() leaves out, with `reason`: null text, no game, or the reader's error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, reasons = [], []
+            for k, text in enumerate(batch.column(place).to_pylist()):
+                try:
+                    reason = "null" if text is None else "no game" if read_game(text) is None else None
+                except LexError as e:
+                    reason = str(e)
+                if reason:
+                    rows.append(k)
+                    reasons.append(reason)
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(reasons)], names=[*names, "reason"])
+
+    names, place = df.columns, df.columns.index(movetext)
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{given}, reason string")

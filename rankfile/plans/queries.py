@@ -7,14 +7,13 @@ games of which the facts are listed in the SQL.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as C
 from ..operators.replay import replay
 from ..sources import read_pgn
+from ..stored import shared_path, stored
 from .index import move_to_game, numbered_games, position_to_game
 from .tables import game_totals, legal_moves_table, moves_table, positions_table
 
@@ -45,6 +44,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt out to all cores where a scan has fewer tasks (a file of one row group): what follows costs far
+    more than moving them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores and rows.rdd.getNumPartitions() < cores else rows
+
+
 def _opening(key) -> tuple:
     letter = lambda n: F.substr(F.lit("abcdefgh"), n + 1, F.lit(1))
     f1, d1, f2, d2 = F.pmod(key, F.lit(8)), F.pmod(F.floor(key / 8), F.lit(2)), F.pmod(F.floor(key / 16), F.lit(8)), F.pmod(F.floor(key / 128), F.lit(2))
@@ -57,7 +63,7 @@ def _opening(key) -> tuple:
 def opening_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, movetext: one white and one black pawn move that follow from the key."""
     a, b, c, d, end = _opening(F.col("o_orderkey"))
-    return _read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("1. "), a, b, F.lit(" "), c, d, F.lit(" "), end).alias("movetext"))
+    return _spread(_read(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.concat(F.lit("1. "), a, b, F.lit(" "), c, d, F.lit(" "), end).alias("movetext"))
 
 
 _OPEN = """
@@ -73,7 +79,7 @@ def golden_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, k, movetext: one of GOLDEN a row."""
     texts = F.array(*[F.lit(g) for g in GOLDEN])
     k = F.pmod("o_orderkey", F.lit(len(GOLDEN))).cast("int")
-    return _read(spark, sf_dir, "orders").select("o_orderkey", k.alias("k"), F.element_at(texts, k + 1).alias("movetext"))
+    return _spread(_read(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", k.alias("k"), F.element_at(texts, k + 1).alias("movetext"))
 
 
 def moves_of_openings(spark, sf_dir):
@@ -94,15 +100,26 @@ def outcomes_of_openings(spark, sf_dir):
     return replay(opening_texts(spark, sf_dir), positions=False, status=False).groupBy("outcome").agg(F.count("*").alias("games"), F.sum("num_moves").alias("moves"))
 
 
-def legal_moves_of_openings(spark, sf_dir):
-    """Of the first two positions; after one pawn move Black has 20 replies, whatever it was."""
-    texts = opening_texts(spark, sf_dir)
-    legal = legal_moves_table(replay(texts, legal_moves=True, status=False), key="o_orderkey").where("ply < 2")
+def _legal_facts(games: DataFrame) -> DataFrame:
+    legal = legal_moves_table(games, key="o_orderkey")
     return legal.groupBy("o_orderkey", F.col("ply").cast("long").alias("ply")).agg(F.count("*").alias("n"), F.sum("from_sq").alias("from_sum"), F.sum("to_sq").alias("to_sum"), F.max("promotion").cast("long").alias("promotion"))
 
 
+def legal_moves_of_first_moves(spark, sf_dir):
+    """Games of one pawn move: both positions have 20 moves, whatever it was."""
+    a, b, _, _, end = _opening(F.col("o_orderkey"))
+    texts = _spread(_read(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.concat(F.lit("1. "), a, b, F.lit(" "), end).alias("movetext"))
+    return _legal_facts(replay(texts, legal_moves=True, status=False))
+
+
+def legal_moves_of_games(spark, sf_dir):
+    """All positions of the openings and of the golden games; held against a plain implementation, not SQL."""
+    texts = opening_texts(spark, sf_dir).union(golden_texts(spark, sf_dir).select(-F.col("o_orderkey") - 1, "movetext"))
+    return _legal_facts(replay(texts, legal_moves=True, status=False))
+
+
 def status_of_golden_games(spark, sf_dir):
-    g = replay(golden_texts(spark, sf_dir))
+    g = replay(golden_texts(spark, sf_dir), positions=False)
     last = F.try_element_at("moves", F.lit(-1))
     first = F.try_element_at("moves", F.lit(1))
     name = lambda m: C.uci(m["from_sq"], m["to_sq"], m["promotion"])
@@ -148,9 +165,9 @@ def _comment():
 
 
 def annotation_functions(spark, sf_dir):
-    comment = F.col("comment")
-    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _comment().alias("comment"))
-    return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.round(C.comment_eval(comment).cast("double"), 4).alias("eval"), C.comment_clock(comment).cast("double").alias("clock"), C.comment_text(comment).alias("text"), F.size(C.annotation_items(comment)).cast("long").alias("items"))
+    rows = _spread(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), C.annotation(_comment()).alias("a"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("a.eval").cast("double"), 4).alias("eval"), F.col("a.clock").cast("double").alias("clock"), F.col("a.text").alias("text"), F.size("a.items").cast("long").alias("items"))
 
 
 _COMMENT_SQL = """
@@ -170,14 +187,16 @@ def uci_function(spark, sf_dir):
 
 def header_functions(spark, sf_dir):
     text = F.concat(F.lit('[Event "'), F.col("c_name"), F.lit('"]\n[White "w'), F.col("c_nationkey").cast("string"), F.lit('"]\n[white "other"]\n[White "last"]\n\n1. e4 {[Not "a tag"]} '), F.when(F.col("c_custkey") % 2 == 0, "1-0").otherwise("*"))
-    rows = _read(spark, sf_dir, "customer").select("c_custkey", text.alias("t"))
-    t = F.col("t")
-    return rows.select("c_custkey", C.header(t, "event").alias("event"), C.header(t, "WHITE").alias("white"), F.try_element_at(C.header_map(t), F.lit("White")).alias("last_white"), F.map_keys(C.header_map(t)).getItem(0).alias("first_key"), F.size(C.header_map(t)).cast("long").alias("tags"), C.termination(t).alias("outcome"), C.header(t, "Site").alias("site"))
+    rows = _spread(_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")).select("c_custkey", text.alias("t"))
+    rows = rows.select("c_custkey", C.tag_list(F.col("t")).alias("tags"), C.termination(F.col("t")).alias("outcome"))
+    rows = rows.select("*", C.tags_map(F.col("tags")).alias("map"))
+    value = lambda key: C.tag_value(F.col("tags"), key)
+    return rows.select("c_custkey", value("event").alias("event"), value("WHITE").alias("white"), F.try_element_at("map", F.lit("White")).alias("last_white"), F.map_keys("map").getItem(0).alias("first_key"), F.size("map").cast("long").alias("tags"), "outcome", value("Site").alias("site"))
 
 
 def _numbered(spark, sf_dir):
     games = replay(golden_texts(spark, sf_dir), positions=False, status=False).select("o_orderkey", "k", "num_moves", "num_positions")
-    return numbered_games(games, "o_orderkey")
+    return numbered_games(stored(games, "golden"), "o_orderkey")
 
 
 def game_offsets(spark, sf_dir):
@@ -186,12 +205,12 @@ def game_offsets(spark, sf_dir):
 
 def position_lookup(spark, sf_dir):
     asked = _read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 13 - 5).alias("position_index"))
-    return position_to_game(asked, _numbered(spark, sf_dir)).select("event_id", "game_index")
+    return position_to_game(asked, stored(_numbered(spark, sf_dir), "numbered")).select("event_id", "game_index")
 
 
 def move_lookup(spark, sf_dir):
     asked = _read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 11 - 5).alias("move_index"))
-    return move_to_game(asked, _numbered(spark, sf_dir)).select("event_id", "game_index")
+    return move_to_game(asked, stored(_numbered(spark, sf_dir), "numbered")).select("event_id", "game_index")
 
 
 def slice_of_games(spark, sf_dir):
@@ -242,20 +261,16 @@ def pgn_files(spark, sf_dir):
     """Games written to .pgn text, read back by the splitter and replayed."""
     from pyspark.sql.types import StringType
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/rankfile"
-    path = f"{shared}/pgn-{uuid.uuid4().hex}"
+    path = shared_path(spark, "pgn")
     text = opening_texts(spark, sf_dir).select(F.concat(F.lit('[Event "'), F.col("o_orderkey").cast("string"), F.lit('"]\n[Site "x"]\n\n'), F.col("movetext"), F.lit("\n")).cast(StringType()).alias("value"))
     text.write.option("lineSep", "\n").text(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     games = replay(read_pgn(spark, path), positions=False, status=False)
     return games.select(F.element_at("headers", "Event").cast("long").alias("o_orderkey"), "outcome", F.col("num_moves").cast("long").alias("num_moves"))
 
 
 def streamed_openings(spark, sf_dir):
     """The same games through a file stream into a table in the shared folder, one pass over what is there."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/rankfile"
-    path = f"{shared}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     schema = _read(spark, sf_dir, "orders").schema
     orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/order[s].parquet")  # a pattern: file or folder
     a, b, c, d, end = _opening(F.col("o_orderkey"))
@@ -281,10 +296,11 @@ UNION ALL SELECT o_orderkey, CAST(ply + 1 AS BIGINT), CAST(CASE WHEN d = 1 THEN
     "v9_boards": (boards_of_openings, f"WITH {_OPEN}, s AS (SELECT CAST(sum(x) AS BIGINT) AS d FROM {_START_DIGEST} t(x)) SELECT o_orderkey, d AS first_digest, CAST(d + (8 + 8 * d1) + 7 * (-8 - 8 * d2) AS BIGINT) AS last_digest FROM o CROSS JOIN s"),
     "l8_a6_outcomes": (outcomes_of_openings, f"WITH {_OPEN} SELECT outcome, count(*) AS games, CAST(2 * count(*) AS BIGINT) AS moves FROM o GROUP BY outcome"),
     "g1_g3_legal_moves": (
-        legal_moves_of_openings,
+        legal_moves_of_first_moves,
         f"""WITH {_OPEN} SELECT o_orderkey, CAST(0 AS BIGINT) AS ply, CAST(20 AS BIGINT) AS n, CAST(2 * (8+9+10+11+12+13+14+15) + 2 * (1 + 6) AS BIGINT) AS from_sum, CAST(16+17+18+19+20+21+22+23+24+25+26+27+28+29+30+31 + 16+18+21+23 AS BIGINT) AS to_sum, CAST(-1 AS BIGINT) AS promotion FROM o
 UNION ALL SELECT o_orderkey, CAST(1 AS BIGINT), CAST(20 AS BIGINT), CAST(2 * (48+49+50+51+52+53+54+55) + 2 * (57 + 62) AS BIGINT), CAST(32+33+34+35+36+37+38+39+40+41+42+43+44+45+46+47 + 40+42+45+47 AS BIGINT), CAST(-1 AS BIGINT) FROM o""",
     ),
+    "g1_g3_legal_moves_of_games": (legal_moves_of_games, None),
     "a1_a5_r1_r6_status": (status_of_golden_games, _FLAGS),
     "r2_r6_errors": (errors_of_golden_games, f"SELECT CAST(g.k AS BIGINT) AS k, count(*) AS n, true AS told FROM orders JOIN {_FACTS} ON o_orderkey % {len(GOLDEN)} = g.k WHERE NOT is_valid GROUP BY g.k"),
     "a7_totals": (totals_of_golden_games, f"SELECT CAST(g.k AS BIGINT) AS k, count(*) AS num_games, CAST(sum(num_moves) AS BIGINT) AS num_moves, CAST(sum(num_moves + 1) AS BIGINT) AS num_positions FROM orders JOIN {_FACTS} ON o_orderkey % {len(GOLDEN)} = g.k GROUP BY g.k"),

@@ -19,6 +19,9 @@ def both(spark, comments):
     from pyspark.sql import functions as F
 
     col = F.col("c")
+    one = rows.select("k", C.annotation(col).alias("a")).orderBy("k").select("a.*").collect()
+    apart = rows.select("k", C.comment_eval(col).alias("eval"), C.comment_clock(col).alias("clock"), C.comment_text(col).alias("text"), c(col).alias("items")).orderBy("k").collect()
+    assert [tuple(r) for r in one] == [tuple(r)[1:] for r in apart]
     return rows.select("k", c(col).alias("items"), C.comment_eval(col).alias("eval"), C.comment_clock(col).alias("clock"), C.comment_text(col).alias("text")).orderBy("k").collect()
 
 
@@ -52,3 +55,25 @@ def test_fold():
     assert fold("soon [%eval #-3]").text == "soon [Mate -3]"
     assert fold("a [%clk 0:0:1] b").text == "a   b"
     assert fold("[%eval 0.19]") == ("", 0.19, None)
+
+
+def test_header_functions(spark):
+    from pyspark.sql import functions as F
+
+    many = "".join(f'[K{i % 700} "{i}"]\n' for i in range(5000)) + "\n1. e4 *"
+    texts = ['[A "1"]\n[b "2"]\n[A "3"]\n\n1. e4 1-0', "1. e4", "", None, '[X "y"]', many]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    t = F.col("t")
+    got = rows.select("k", C.header(t, "a").alias("a"), C.header_map(t).alias("m"), C.termination(t).alias("o")).orderBy("k").collect()
+    assert [r["a"] for r in got] == ["1", None, None, None, None, None]
+    assert [r["m"] for r in got][:5] == [{"A": "3", "b": "2"}, {}, {}, None, {"X": "y"}]
+    assert got[5]["m"] == {f"K{i}": str(i + 4200 if i + 4200 >= 4300 else i + 4900) for i in range(700)}
+    assert [r["o"] for r in got] == ["White", None, None, None, None, "Unknown"]
+
+
+def test_escaped_lines_are_no_moves():
+    from rankfile.operators.lex import read_game
+
+    g = read_game('%first\n[A "b"]\n% between\n[C "d"]\n\n%note d4 h6\n1. e4 e5\n%note d4 h6\n2. Nf3 {x\n%kept} *')
+    assert g.tags == [("A", "b"), ("C", "d")] and g.sans == ["e4", "e5", "Nf3"] and g.comments == [(3, "x\n%kept")] and g.outcome == "Unknown"
+    assert read_game("1. e4 %50 e5 *").sans == ["e4", "e5"] and read_game("1. e4 e5\n%d4 h6").sans == ["e4", "e5"]

@@ -1,12 +1,13 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
 import rankfile
 from rankfile.operators.generate import random_games
 from rankfile.plans import offsets
-from rankfile.sources import PgnDataSource, from_parquet, read_pgn, split_games
+from rankfile.sources import PgnDataSource, from_parquet, from_table, read_pgn, split_games
 from rankfile.streaming import replay_stream, windowed_outcomes
 
 TEXTS = ["1. e4 e5 1-0", None, "1. d4 {[%eval 0.2] [%clk 0:01:30] fine} 0-1", "", '[White "A"]\n[Black "B"]\n\n1. e4 e5 2. Bc4 Bc5 3. Qh5 Nf6 4. Qxf7# 1-0', "*", "1. e4 {open"]
@@ -20,7 +21,8 @@ def parsed(spark):
 def test_totals_and_order(parsed):
     assert (len(parsed), parsed.num_moves, parsed.num_positions) == (4, 10, 14)
     assert [len(g) for g in parsed] == [2, 1, 7, 0] and [g.outcome for g in parsed] == ["White", "Black", "White", "Unknown"]
-    assert "4 games" in repr(parsed) and "A vs B" in repr(parsed[2]) and "? vs ?" in repr(parsed[0])
+    assert repr(parsed).startswith("<ParsedGames: 4 games, 10 moves, 14 positions, ") and repr(parsed[2]) == "<PyGameView A vs B, 7 moves, valid=True>"
+    assert "? vs ?" in repr(parsed[0]) and repr(parsed.chunks[0]).startswith("<PyChunkView chunk=0, ")
 
 
 def test_views(parsed):
@@ -129,7 +131,7 @@ def test_parquet_and_plan(spark, tmp_path):
     rows = from_parquet(spark, str(tmp_path / "g"))
     games = rankfile.replay(rows, positions=False)
     plan = games._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<movetext:string>" in plan and "Exchange" not in plan and "IsNotNull(movetext)" in plan
+    assert "ReadSchema: struct<movetext:string" in plan and "other" not in plan and "IsNotNull(movetext)" in plan and "Exchange hash" not in plan
     assert games.count() == 4 and "positions" not in games.columns
 
 
@@ -141,3 +143,57 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("outcomes").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["outcome"], r["games"], r["moves"]) for r in spark.table("outcomes").collect()} == {("White", 2, 9), ("Black", 1, 1), ("Unknown", 1, 0)}
+
+
+def test_order_over_files_of_unlike_size(spark, tmp_path):
+    """Games are numbered by file name and row, whatever the files' sizes and tasks, and alike in every reading."""
+    folder = str(tmp_path / "g")
+    for k, n in enumerate((3, 4000, 5)):
+        texts = pa.table({"movetext": [f'[Event "{k}-{i}"]\n\n1. e4 *' for i in range(n)]})
+        (tmp_path / "g").mkdir(exist_ok=True)
+        pa.parquet.write_table(texts, f"{folder}/part-0000{k}.parquet", row_group_size=700)
+    df = spark.read.parquet(folder)
+    rows = from_table(df).orderBy("input_ordinal").collect()
+    names = [r["movetext"].split('"')[1] for r in rows]
+    want = [f"{k}-{i}" for k, n in enumerate((3, 4000, 5)) for i in range(n)]
+    assert names == want and len({r["input_ordinal"] for r in rows}) == len(want)
+    parsed = rankfile.parse_games(df)
+    assert parsed[0].headers["Event"] == "0-0" and parsed[3].headers["Event"] == "1-0" and parsed[-1].headers["Event"] == "2-4"
+    shuffled = rankfile.parse_games(df.repartition(5))  # no order of its own, but counts and texts belong together
+    assert len(shuffled) == len(want) and {g.headers["Event"] for g in shuffled[:5000:500]} <= set(want)
+    parsed.close()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_pgn_line_ends_and_parts(spark, tmp_path, end):
+    """Files of many parts, games without an Event tag, any line ends: as the sequential splitter gives them."""
+    rng = np.random.default_rng(3)
+    games = []
+    for k in range(1200):
+        head = f'[White "{k}"]\n[Black "é"]\n\n' if k % 3 else ""
+        games.append(head + "\n".join(f"{i}. e4 e5" for i in range(int(rng.integers(1, 9)))) + (" 1-0" if k % 2 else "") + "\n\n" * int(rng.integers(1, 3)))
+    text = ("".join(games)).replace("\n", end)
+    (tmp_path / "b.pgn").write_bytes(text.encode())
+    (tmp_path / "a.pgn").write_bytes(("1. d4 *" + end).encode())
+    want = list(split_games(text.splitlines()))
+    assert len(want) == 1200
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = read_pgn(spark, str(tmp_path)).orderBy("input_ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["movetext"].strip() for r in got] == ["1. d4 *", *[w.strip() for w in want]]
+    assert len({r["input_ordinal"] for r in got}) == 1201 and got[0]["path"].endswith("a.pgn")
+
+
+def test_many_games_without_tags_have_ordinals_of_their_own(spark, tmp_path):
+    (tmp_path / "x.pgn").write_text("\n\n".join(f"1. e4 e5 {k}. d4" for k in range(2, 10_003)))
+    got = read_pgn(spark, str(tmp_path)).collect()
+    assert len(got) == len({r["input_ordinal"] for r in got}) == 10_001
+
+
+def test_rejected_rows(spark):
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(TEXTS)], "movetext string, k long")
+    got = {r["k"]: r["reason"] for r in rankfile.rejected(rows).collect()}
+    assert got == {1: "null", 3: "no game", 6: "unterminated comment"}
+    assert rankfile.replay(rows).count() + len(got) == len(TEXTS)
