@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, store, texts
 from .langid import train_split
 
-#: Labelled documents (about) and lines of each that the model is fitted on.
-TRAIN_DOCS, TRAIN_LINES = 3000, 200
+#: Labelled documents (about) that the model is fitted on, and padded lines of a block of chains.
+TRAIN_DOCS, BLOCK_LINES = 3000, 200_000
 THRESHOLD = 0.7
 _SYMBOLS = "#*$%&|<>"
 _MARKS = ".,;:"
@@ -105,7 +104,13 @@ def fit_chains(features: list[np.ndarray], labels: np.ndarray, rounds: int = 150
     theta = np.concatenate((weights, change.ravel()))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     order = np.argsort([len(f) for f in features], kind="stable")
-    blocks = [order[k : k + 256] for k in range(0, len(order), 256)]
+    blocks, k = [], 0
+    while k < len(order):  # chains of like length together
+        end = k + 1
+        while end < min(len(order), k + 256) and (end - k + 1) * len(features[order[end]]) <= BLOCK_LINES:
+            end += 1
+        blocks.append(order[k:end])
+        k = end
     stacked = []
     for block in blocks:
         fs = [features[i] for i in block]
@@ -145,7 +150,7 @@ def score_texts(batch: list[str], model: Crf) -> np.ndarray:
     at = 0
     while at < len(order):  # chains of like length together, a bounded number of lines at once
         end = at + 1
-        while end < len(order) and (end - at + 1) * len(emits[order[end]]) <= 200_000:
+        while end < len(order) and (end - at + 1) * len(emits[order[end]]) <= BLOCK_LINES:
             end += 1
         block = order[at:end]
         padded, length = pad([emits[i] for i in block])
@@ -156,10 +161,10 @@ def score_texts(batch: list[str], model: Crf) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
     """Fits the field on about `train_docs` labelled documents of the training split, half of them of either label,
-    chosen by a hash of doc_id (2 * train_docs ids at the very most). Of a longer one `train_lines` consecutive lines are
-    taken, from a place that a hash of its first line decides. Documents are found by a broadcast join on the sample's ids; line features are made on the executors."""
+    chosen by a hash of doc_id (2 * train_docs ids at the very most), with all their lines. Documents are found by a
+    broadcast join on the sample's ids; line features (44 bytes a line) are made on the executors."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & train_split(F.col("doc_id")))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -171,13 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     # its size is bounded, so it may be broadcast; texts are never shuffled for the sample's sake
     sample = F.broadcast(store(sample.orderBy(F.xxhash64("_id"), "_id").limit(2 * train_docs), "crf-sample"))
 
-    def stretch(lines: list[str]) -> list[str]:
-        first = zlib.crc32(lines[0].encode()) % max(1, len(lines) - train_lines + 1)
-        return lines[first : first + train_lines]
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [line_features(stretch(t.split("\n"))).astype(np.float32).tobytes() for t in texts(batch, "text")]
+            rows = [line_features(t.split("\n")).astype(np.float32).tobytes() for t in texts(batch, "text")]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "f"])
 
     rows = docs.join(sample, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "quality", "text").mapInArrow(features, "doc_id long, quality int, f binary")

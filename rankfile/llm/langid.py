@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,20 +40,30 @@ def script_of(char: str) -> str:
     return SCRIPTS[bisect.bisect_right([a for a, _ in SCRIPTS], ord(char)) - 1][1]
 
 
-def _letters() -> np.ndarray:
-    """The lower-case code point of each letter below U+10000; 0 for what is no letter."""
-    out = np.zeros(0x10000, dtype=np.uint32)
-    for c in range(0x10000):
+def _letters(first: int, end: int) -> np.ndarray:
+    """The lower-case code point of each letter from `first` up to `end`; 0 for what is no letter."""
+    out = np.zeros(end - first, dtype=np.uint32)
+    for c in range(first, end):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
-            out[c] = ord(low) if len(low) == 1 else c
+            out[c - first] = ord(low) if len(low) == 1 else c
     return out
 
 
+#: Letters below U+10000 and, once a text has any beyond, of all code points.
 _TABLE: list[np.ndarray] = []
 
 
+def _lowered(raw: np.ndarray) -> np.ndarray:
+    """The lower-case letter of each code point; 0 for what is no letter."""
+    if not _TABLE:
+        _TABLE.append(_letters(0, 0x10000))
+    if len(raw) and raw.max() >= len(_TABLE[0]):
+        _TABLE[0] = np.concatenate((_TABLE[0], _letters(0x10000, sys.maxunicode + 1)))
+    return _TABLE[0][raw]
+
+
 @dataclass
 class Words:
     """A text's letter runs: ends of their trigrams, places of trigrams, first letters, bounds in the text."""
@@ -66,10 +77,8 @@ class Words:
 
 def words_of(text: str) -> Words:
     """Letter runs; each letter heads a trigram of its predecessor, itself and its successor (0 beyond the run)."""
-    if not _TABLE:
-        _TABLE.append(_letters())
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    low = np.where(raw < 0x10000, _TABLE[0][np.minimum(raw, 0xFFFF)], np.where(raw >= 0x20000, raw, 0)).astype(np.uint32)
+    low = _lowered(raw)
     at = np.flatnonzero(low)
     if not len(at):
         none = np.zeros(0, dtype=np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,9 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces shorter than a window that a task holds before it packs and releases them.
 PENDING = 1_000_000
+#: White-space characters in a row from which a text takes the slower reader.
+LONG_RUN = 100_000
+BLANK_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -75,18 +79,25 @@ def load_encoder(vocabulary: str | None = None):
     """encode(text) -> ids, equal to the `tokenizers` file byte_bpe_50k.json without special tokens added.
 
     The same merges are read as ranks, which encode several times faster; the one special string is cut out and gets
-    its id, as the tokenizer does. `vocabulary` is the path of the .tiktoken file.
+    its id, as the tokenizer does. The fast reader's pattern overflows its stack on very long runs of white space, so
+    texts with one go to `tokenizers` itself. `vocabulary` is the path of the .tiktoken file, beside the .json one.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = str(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    slow: list[Tokenizer] = []
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     special = "<|endoftext|>"
     encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and BLANK_RUN.search(text):
+            if not slow:
+                slow.append(Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json"))
+            return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
         if special not in text:
             return np.asarray(encoding.encode_ordinary(text), dtype="<u4")
         out: list[int] = []

@@ -30,22 +30,43 @@ GENERALISE, REMOVE = 0.80, 0.95
 #: What every text with a base span has.
 MARK = r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){15}"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+_PART = "array<struct<at:int,part:array<struct<p:string,v:string>>>>"
+#: Matches whose places are added up in one fold.
+FOLD = 128
 
 
 def matches(text: Column, pattern: Column, kind: str) -> Column:
-    """All matches with places in code points (end exclusive): places add up from the pieces between the matches."""
+    """All matches with places in code points (end exclusive): places add up from the pieces between the matches.
+
+    Spans of FOLD matches are made at a time, from where the matches before them end, so that the work grows with the
+    matches and not with their square.
+    """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
+
+    def begin(at: Column, items: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), items.alias("items"))
 
     def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.length(x["v"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["v"])
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"))
+        return begin(end, F.concat(acc["items"], F.array(span)))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    def fold(at: Column, some: Column) -> Column:
+        return F.aggregate(some, begin(at, F.array().cast(_SPAN)), add, lambda acc: acc["items"])
+
+    width = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x["p"]) + F.length(x["v"]))
+    put = lambda acc, part: begin(acc["at"] + width(part), F.concat(acc["items"], F.array(F.struct(acc["at"].alias("at"), part.alias("part")))))
+
+    def in_parts(all_pairs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / FOLD).cast("int")), lambda c: F.slice(all_pairs, c * FOLD + 1, FOLD))
+        starts = F.aggregate(parts, begin(F.lit(0), F.array().cast(_PART)), put, lambda acc: acc["items"])
+        return F.flatten(F.transform(starts, lambda s: fold(s["at"], s["part"])))
+
+    many = F.transform(F.array(pairs), in_parts)[0]  # a lambda's variable is made once
+    return F.when(F.size(found) > FOLD, many).when(F.size(found) > 0, fold(F.lit(0), pairs)).otherwise(F.array().cast(_SPAN))
 
 
 def _luhn(value: Column) -> Column:
