@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -111,57 +110,66 @@ class GameView:
         return f"<PyGameView {h.get('White', '?')} vs {h.get('Black', '?')}, {len(self)} moves, valid={self.is_valid}>"
 
 
-@dataclass
 class ChunkView:
-    """The games of one partition as flat NumPy arrays with offsets (n + 1, from 0; 64 bits, as a chunk may be any size)."""
+    """The games of one partition as flat NumPy arrays with offsets (n + 1, from 0; 64 bits, as a chunk may be any size).
 
-    rows: list[dict]
-    stored_comments: bool
-    stored_legal: bool
-    index: int = 0
-
-    def _flat(self, outer: str, name: str) -> list:
-        return [x[name] for r in self.rows for x in r[outer]]
-
-    @property
-    def num_games(self) -> int:
-        return len(self.rows)
+    Its rows are fetched, as Arrow, when an array is first asked for; other chunks are not.
+    """
 
-    @property
-    def num_moves(self) -> int:
-        return sum(r["num_moves"] for r in self.rows)
+    def __init__(self, games: DataFrame, part: int | None, stored_comments: bool, stored_legal: bool, index: int = 0):
+        self._games, self._part, self.stored_comments, self.stored_legal, self.index = games, part, stored_comments, stored_legal, index
 
-    @property
-    def num_positions(self) -> int:
-        return sum(r["num_positions"] for r in self.rows)
-
-    def _offsets(self, name: str) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum([r[name] for r in self.rows]))).astype(np.int64)
-
-    move_offsets = property(lambda self: self._offsets("num_moves"))
-    position_offsets = property(lambda self: self._offsets("num_positions"))
-    boards = property(lambda self: np.asarray(self._flat("positions", "board"), dtype="uint8").reshape(-1, 8, 8))
-    castling = property(lambda self: np.asarray(self._flat("positions", "castling"), dtype=bool).reshape(-1, 4))
-    en_passant = property(lambda self: np.asarray(self._flat("positions", "en_passant"), dtype="int8"))
-    halfmove_clock = property(lambda self: np.asarray(self._flat("positions", "halfmove_clock"), dtype="uint8"))
-    turn = property(lambda self: np.asarray(self._flat("positions", "turn"), dtype=bool))
-    from_squares = property(lambda self: np.asarray(self._flat("moves", "from_sq"), dtype="uint8"))
-    to_squares = property(lambda self: np.asarray(self._flat("moves", "to_sq"), dtype="uint8"))
-    promotions = property(lambda self: np.asarray(self._flat("moves", "promotion"), dtype="int8"))
-    clocks = property(lambda self: np.asarray([np.nan if x is None else x for x in self._flat("moves", "clock")], dtype="float32"))
-    evals = property(lambda self: np.asarray([np.nan if x is None else x for x in self._flat("moves", "eval")], dtype="float32"))
-    is_checkmate = property(lambda self: np.asarray([r["is_checkmate"] for r in self.rows], dtype=bool))
-    is_stalemate = property(lambda self: np.asarray([r["is_stalemate"] for r in self.rows], dtype=bool))
-    is_insufficient = property(lambda self: np.asarray([(r["is_insufficient"]["white"], r["is_insufficient"]["black"]) for r in self.rows], dtype=bool).reshape(-1, 2))
-    legal_move_count = property(lambda self: np.asarray([r["legal_move_count"] for r in self.rows], dtype="uint16"))
-    valid = property(lambda self: np.asarray([r["is_valid"] for r in self.rows], dtype=bool))
-    headers = property(lambda self: [dict(r["headers"] or {}) for r in self.rows])
-    outcome = property(lambda self: [r["outcome"] for r in self.rows])
-    parse_errors = property(lambda self: [r["parse_error"] for r in self.rows])
-    comments = property(lambda self: self._flat("moves", "comment") if self.stored_comments else [])
+    @cached_property
+    def _table(self) -> pa.Table:
+        part = self._games.where("false" if self._part is None else F.spark_partition_id() == self._part)
+        return part.toArrow().sort_by("game_index").combine_chunks()
+
+    def _of(self, *path: str) -> pa.Array:
+        """The values of a field, lists on the way to it laid end to end."""
+        column = self._table[path[0]].combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        for name in path[1:]:
+            if pa.types.is_list(column.type):
+                column = column.flatten()
+            column = column.field(name)
+        return column
+
+    def _array(self, dtype: str, *path: str, missing: float | None = None) -> np.ndarray:
+        column = self._of(*path)
+        column = column.flatten() if pa.types.is_list(column.type) else column
+        return (column if missing is None else column.fill_null(missing)).to_numpy(zero_copy_only=False).astype(dtype)
+
+    num_games = property(lambda self: self._table.num_rows)
+    num_moves = property(lambda self: int(self.move_offsets[-1]))
+    num_positions = property(lambda self: int(self.position_offsets[-1]))
+
+    def _offsets(self, sizes: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+    move_offsets = property(lambda self: self._offsets(self._array("int64", "num_moves")))
+    position_offsets = property(lambda self: self._offsets(self._array("int64", "num_positions")))
+    boards = property(lambda self: self._array("uint8", "positions", "board").reshape(-1, 8, 8))
+    castling = property(lambda self: self._array("bool", "positions", "castling").reshape(-1, 4))
+    en_passant = property(lambda self: self._array("int8", "positions", "en_passant"))
+    halfmove_clock = property(lambda self: self._array("uint8", "positions", "halfmove_clock"))
+    turn = property(lambda self: self._array("bool", "positions", "turn"))
+    from_squares = property(lambda self: self._array("uint8", "moves", "from_sq"))
+    to_squares = property(lambda self: self._array("uint8", "moves", "to_sq"))
+    promotions = property(lambda self: self._array("int8", "moves", "promotion"))
+    clocks = property(lambda self: self._array("float32", "moves", "clock", missing=np.nan))
+    evals = property(lambda self: self._array("float32", "moves", "eval", missing=np.nan))
+    is_checkmate = property(lambda self: self._array("bool", "is_checkmate"))
+    is_stalemate = property(lambda self: self._array("bool", "is_stalemate"))
+    is_insufficient = property(lambda self: np.stack([self._array("bool", "is_insufficient", side) for side in ("white", "black")], axis=1))
+    legal_move_count = property(lambda self: self._array("uint16", "legal_move_count"))
+    valid = property(lambda self: self._array("bool", "is_valid"))
+    headers = property(lambda self: [dict(h or []) for h in self._table["headers"].to_pylist()])
+    outcome = property(lambda self: self._table["outcome"].to_pylist())
+    parse_errors = property(lambda self: self._table["parse_error"].to_pylist())
+    comments = property(lambda self: self._of("moves", "comment").to_pylist() if self.stored_comments else [])
 
     def _legal(self, name: str, dtype: str) -> np.ndarray:
-        return np.asarray([x[name] for p in self._flat("positions", "legal_moves") for x in p] if self.stored_legal else [], dtype=dtype)
+        return self._array(dtype, "positions", "legal_moves", name) if self.stored_legal else np.zeros(0, dtype=dtype)
 
     legal_move_from_squares = property(lambda self: self._legal("from_sq", "uint8"))
     legal_move_to_squares = property(lambda self: self._legal("to_sq", "uint8"))
@@ -170,7 +178,7 @@ class ChunkView:
     @property
     def legal_move_offsets(self) -> np.ndarray:
         """Offsets by position; of length 0 if legal moves were not stored."""
-        return np.concatenate(([0], np.cumsum([len(x) for x in self._flat("positions", "legal_moves")]))).astype(np.int64) if self.stored_legal else np.zeros(0, dtype=np.int64)
+        return self._offsets(self._of("positions", "legal_moves").value_lengths().to_numpy(zero_copy_only=False)) if self.stored_legal else np.zeros(0, dtype=np.int64)
 
     def __repr__(self) -> str:
         return f"<PyChunkView chunk={self.index}, {self.num_games} games, {self.num_moves} moves, {self.num_positions} positions>"
@@ -210,9 +218,7 @@ class ParsedGames:
     num_moves = property(lambda self: self._totals["num_moves"])
     num_positions = property(lambda self: self._totals["num_positions"])
 
-    @cached_property
-    def num_chunks(self) -> int:
-        return max(1, self.games.select(F.spark_partition_id().alias("p")).distinct().count())
+    num_chunks = property(lambda self: max(1, len(self._parts)))
 
     def __len__(self) -> int:
         return self.num_games
@@ -241,15 +247,16 @@ class ParsedGames:
         for row in self.games.orderBy("game_index").toLocalIterator():
             yield self._view(row)
 
+    @cached_property
+    def _parts(self) -> list[int]:
+        """The partitions that hold games, in the order of their games: one row a partition."""
+        rows = self.games.groupBy(F.spark_partition_id().alias("part")).agg(F.min("game_index").alias("first")).orderBy("first").collect()
+        return [r["part"] for r in rows]
+
     @property
     def chunks(self) -> list[ChunkView]:
         """The result by partitions, in order; an empty result has one empty chunk."""
-        by: dict[int, list[dict]] = {}
-        for row in self.games.withColumn("_part", F.spark_partition_id()).orderBy("game_index").toLocalIterator():
-            d = row.asDict(recursive=True)
-            by.setdefault(d.pop("_part"), []).append(d)
-        parts = sorted(by.values(), key=lambda rows: rows[0]["game_index"]) or [[]]
-        return [ChunkView(rows, self.stored_comments, self.stored_legal, k) for k, rows in enumerate(parts)]
+        return [ChunkView(self.games, part, self.stored_comments, self.stored_legal, k) for k, part in enumerate(self._parts or [None])]
 
     @cached_property
     def _ranges(self) -> DataFrame:

@@ -7,12 +7,15 @@ games of which the facts are listed in the SQL.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import api
 from .. import functions as C
 from ..operators.replay import replay
-from ..sources import read_pgn
+from ..sources import from_parquet, read_pgn
 from ..stored import shared_path, stored
 from .index import move_to_game, numbered_games, position_to_game
 from .tables import game_totals, legal_moves_table, moves_table, positions_table
@@ -31,6 +34,26 @@ GOLDEN = [
     '[FEN "not a position"]\n\n1. e4 e5 1-0',
     "   ",
 ]
+#: Texts that show how single games are read: no game, two games, no move, white space in tags, moves after the end, and
+#: what castling rights and the halfmove clock become. Chosen by o_orderkey modulo their number.
+SINGLE = [
+    None,
+    "",
+    "1. e4 e5 1-0\n\n1. d4 *",
+    "1. e4 -- 2. d4 *",
+    "1. e4 {[%eval\t1.5]} e5 {[%clk\n0:00:09]} *",
+    "1. e4 e5 2. Ke2 Ke7 3. Ke1 Ke8 1/2-1/2",
+    "1. a4 h5 2. Ra3 Rh6 *",
+    "1. f3 e5 2. g4 Qh4# 3. e4 0-1",
+    "1. Nf3 Nc6 2. Ng1 Nb8 3. Nc3 {open",
+    "1. Nf3 Nf6 2. g3 g6 3. Bg2 Bg7 4. O-O O-O *",
+]
+_SINGLE_FACTS = """(VALUES
+ (2, 'White', true, 2, false, 29, 0, 'KQkq', 1, 4, NULL, NULL), (3, NULL, false, 1, false, 20, 0, 'KQkq', 1, 4, NULL, NULL),
+ (4, 'Unknown', true, 2, false, 29, 0, 'KQkq', 1, 4, 1.5, 9.0), (5, 'Draw', true, 6, false, 29, 4, '', 1, -1, NULL, NULL),
+ (6, 'Unknown', true, 4, false, 23, 2, 'Kq', 1, -1, NULL, NULL), (7, NULL, false, 4, true, 0, 1, 'KQkq', 1, -1, NULL, NULL),
+ (9, 'Unknown', true, 8, false, 25, 4, '', 1, -1, NULL, NULL)
+) g(k, outcome, is_valid, num_moves, is_checkmate, legal_move_count, halfmove_clock, castling, white_to_move, en_passant, eval, clock)"""
 _FACTS = """(VALUES
  (0, 'White', true, 7, true, false, 0, false, 'e2e4', 'h5f7'), (1, 'Black', true, 4, true, false, 0, false, 'f2f3', 'd8h4'),
  (2, 'White', true, 33, true, false, 0, false, 'e2e4', 'd1d8'), (3, 'Draw', true, 19, false, true, 0, false, 'e2e3', 'c8e6'),
@@ -150,6 +173,104 @@ def invariants_of_golden_games(spark, sf_dir):
     )
 
 
+def single_games(spark, sf_dir):
+    """What is read of each text of SINGLE, and the state of its last position."""
+    k = F.pmod("o_orderkey", F.lit(len(SINGLE))).cast("int")
+    rows = _spread(_read(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", k.alias("k"), F.element_at(F.array(*[F.lit(t) for t in SINGLE]), k + 1).alias("movetext"))
+    last = F.element_at("positions", -1)
+    rights = F.array_join(F.filter(F.zip_with(last["castling"], F.array(*[F.lit(c) for c in "KQkq"]), lambda has, c: F.when(has, c)), lambda c: c.isNotNull()), "")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return replay(rows, comments=True).select(
+        "o_orderkey", "outcome", "is_valid", long("num_moves"), "is_checkmate", long("legal_move_count"), last["halfmove_clock"].cast("long").alias("halfmove_clock"), rights.alias("castling"), last["turn"].cast("long").alias("white_to_move"),
+        last["en_passant"].cast("long").alias("en_passant"), F.try_element_at("moves", F.lit(1))["eval"].cast("double").alias("eval"), F.try_element_at("moves", F.lit(2))["clock"].cast("double").alias("clock"),
+    )
+
+
+def _in_file_order(spark, sf_dir, texts: list[str]) -> DataFrame:
+    k = F.pmod("o_orderkey", F.lit(len(texts))).cast("int")
+    return _read(spark, sf_dir, "orders").select(F.element_at(F.array(*[F.lit(t) for t in texts]), k + 1).alias("movetext"))
+
+
+def parsed_games(spark, sf_dir):
+    """parse_games() over a file, by chunks: games in the order of the input, with offsets."""
+    parsed = api.parse_games(_in_file_order(spark, sf_dir, GOLDEN), num_threads=3, chunk_multiplier=2, store_comments=True, store_legal_moves=True)
+    return parsed.games.select("game_index", "outcome", "is_valid", F.col("num_moves").cast("long").alias("num_moves"), "move_offset", "position_offset", F.size("positions").cast("long").alias("positions"), (F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + F.size(p["legal_moves"])) > 0).alias("has_legal_moves"))
+
+
+def _parsed_openings(spark, sf_dir):
+    a, b, c, d, end = _opening(F.col("o_orderkey"))
+    return api.parse_games(_read(spark, sf_dir, "orders").select(F.concat(F.lit("1. "), a, b, F.lit(" "), c, d, F.lit(" "), end).alias("movetext")))
+
+
+def chunk_arrays(spark, sf_dir):
+    """Totals of the result, and sums over the NumPy arrays of its chunks, one chunk after another."""
+    with _parsed_openings(spark, sf_dir) as parsed:
+        sums: dict[str, int] = {}
+        for chunk in parsed.chunks:
+            weights = np.arange(1, 65, dtype=np.int64)
+            for name, value in (
+                ("games", chunk.num_games), ("from_sum", chunk.from_squares.sum(dtype="int64")), ("to_sum", chunk.to_squares.sum(dtype="int64")), ("promotion_sum", chunk.promotions.sum(dtype="int64")),
+                ("missing", np.isnan(chunk.clocks).sum() + np.isnan(chunk.evals).sum()), ("offset_gaps", (np.diff(chunk.move_offsets) - 2).sum() + (np.diff(chunk.position_offsets) - 3).sum()),
+                ("board_digest", (chunk.boards.reshape(-1, 64) @ weights).sum()), ("white_turns", chunk.turn.sum()), ("rights", chunk.castling.sum()), ("comments", len(chunk.comments)), ("replies", chunk.legal_move_count.astype("int64").min()),
+            ):
+                sums[name] = min(sums.get(name, 99), int(value)) if name == "replies" else sums.get(name, 0) + int(value)
+        sums |= {"num_games": len(parsed), "num_moves": parsed.num_moves, "num_positions": parsed.num_positions}
+        return spark.range(1).select(*[F.lit(v).cast("long").alias(name) for name, v in sums.items()])
+
+
+def game_views(spark, sf_dir):
+    """Single games by index, negative index and slice, as views."""
+    with _parsed_openings(spark, sf_dir) as parsed:
+        n = len(parsed)
+        at = {0: parsed[0], n - 1: parsed[-1], n // 2: parsed[n // 2]} | dict(zip(range(1, n, n // 5), parsed[1 :: n // 5]))
+        rows = [(k, " ".join(g.moves_uci()), g.move_uci(1), repr(g), len(g), g.outcome, bool(g.is_game_over)) for k, g in at.items()]
+    return spark.createDataFrame(rows, "game_index long, moves string, second string, shown string, moves_made long, outcome string, is_game_over boolean")
+
+
+def arrays_in_memory(spark, sf_dir):
+    """Arrow string, large_string and Python strings in memory, of the customers' keys."""
+    key = F.col("c_custkey")
+    a, b, c, d, end = _opening(key)
+    texts = _read(spark, sf_dir, "customer").select(key, F.concat(F.lit("1. "), a, b, F.lit(" "), c, d, F.lit(" "), end).alias("t")).orderBy(key).toArrow()["t"]
+    parts = [api.parse_games(texts.cast(pa.string())), api.parse_games(texts.cast(pa.large_string()).combine_chunks()), api.parse_games_from_strings(texts.to_pylist())]
+    rows = [p.games.select(F.lit(k).cast("long").alias("source"), "game_index", "outcome", F.col("num_moves").cast("long").alias("num_moves")) for k, p in enumerate(parts)]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def refusals(spark, sf_dir):
+    """Errors of the API: their kinds and texts."""
+    parsed = api.parse_games(pa.array(GOLDEN[:2]))
+    cases = {
+        "no game": lambda: api.parse_game(""), "broken off": lambda: api.parse_game("1. e4 {"), "integers": lambda: api.parse_games(_read(spark, sf_dir, "orders"), column="o_orderkey"), "no column": lambda: api.parse_games(_read(spark, sf_dir, "orders")),
+        "index": lambda: parsed[2], "negative index": lambda: parsed[-3], "key": lambda: parsed["x"], "move index": lambda: parsed[0].move_uci(7),
+    }
+    rows = []
+    for name, case in cases.items():
+        try:
+            case()
+        except (ValueError, IndexError, TypeError) as e:
+            rows.append((name, type(e).__name__, str(e)))
+    return spark.createDataFrame(rows, "name string, kind string, message string")
+
+
+def optional_columns(spark, sf_dir):
+    """What is made only if asked for, by game: legal moves and comments."""
+    rows = golden_texts(spark, sf_dir).where("k = 8")
+    off, on = replay(rows), replay(rows, comments=True, legal_moves=True)
+    has = lambda df, outer, name: F.lit(name in df.schema[outer].dataType.elementType.names)
+    facts = lambda df: df.select("o_orderkey", has(df, "moves", "comment").alias("comments"), has(df, "positions", "legal_moves").alias("legal_moves"))
+    return facts(off).union(facts(on))
+
+
+def parquet_files(spark, sf_dir):
+    """Games in Parquet files beside another column: one column is read, in row groups."""
+    path = shared_path(spark, "games")
+    opening_texts(spark, sf_dir).withColumn("other", F.lit("x")).write.option("parquet.block.size", 1 << 16).parquet(path)
+    games = replay(from_parquet(spark, path), positions=False, status=False)
+    read = games._jdf.queryExecution().executedPlan().toString()
+    return games.groupBy("outcome").agg(F.count("*").alias("games"), F.lit("other" in read).alias("reads_other"))
+
+
 def annotations_in_games(spark, sf_dir):
     g = replay(golden_texts(spark, sf_dir), positions=False, status=False, comments=True)
     m = g.select("o_orderkey", F.posexplode("moves").alias("ply", "m"))
@@ -318,6 +439,31 @@ FROM r LEFT JOIN (VALUES (8, 0, 0.3, 180, ''), (8, 2, NULL, NULL, 'good [Mate 3]
     "x2_x4_position_to_game": (position_lookup, _lookup_sql(13, "position_offset", "p")),
     "x3_x4_move_to_game": (move_lookup, _lookup_sql(11, "move_offset", "m")),
     "v1_v2_slice": (slice_of_games, f"WITH {_NUMBERED} SELECT CAST(game_index AS BIGINT) AS game_index, o_orderkey FROM x WHERE game_index >= 10 AND (game_index - 10) % 3 = 0"),
+    "s4_s8_l9_c6_r8_r10_r12_a4_single_games": (single_games, f"SELECT o_orderkey, outcome, is_valid, CAST(num_moves AS BIGINT) AS num_moves, is_checkmate, CAST(legal_move_count AS BIGINT) AS legal_move_count, CAST(halfmove_clock AS BIGINT) AS halfmove_clock, castling, CAST(white_to_move AS BIGINT) AS white_to_move, CAST(en_passant AS BIGINT) AS en_passant, CAST(eval AS DOUBLE) AS eval, CAST(clock AS DOUBLE) AS clock FROM orders JOIN {_SINGLE_FACTS} ON o_orderkey % {len(SINGLE)} = g.k"),
+    "s1_v16_e1_e2_e3_e4_parse_games": (
+        parsed_games,
+        f"WITH {_NUMBERED}, g AS (SELECT o_orderkey, outcome, is_valid FROM orders JOIN {_FACTS} ON o_orderkey % {len(GOLDEN)} = g.k) SELECT CAST(game_index AS BIGINT) AS game_index, outcome, is_valid, CAST(m AS BIGINT) AS num_moves, CAST(move_offset AS BIGINT) AS move_offset, CAST(position_offset AS BIGINT) AS position_offset, CAST(p AS BIGINT) AS positions, true AS has_legal_moves FROM x JOIN g ON x.o_orderkey = g.o_orderkey",
+    ),
+    "k1_k2_v5_v6_v7_v8_chunks": (
+        chunk_arrays,
+        f"""WITH {_OPEN}, s AS (SELECT CAST(sum(x) AS BIGINT) AS d FROM {_START_DIGEST} t(x)), b AS (SELECT sum(3 * d + 2 * (8 + 8 * d1) + 7 * (-8 - 8 * d2)) AS digest FROM o CROSS JOIN s), t AS (SELECT count(*) AS n FROM o)
+SELECT n AS games, CAST((SELECT sum(from_sq) FROM m) AS BIGINT) AS from_sum, CAST((SELECT sum(to_sq) FROM m) AS BIGINT) AS to_sum, -2 * n AS promotion_sum, 4 * n AS missing, CAST(0 AS BIGINT) AS offset_gaps, CAST(digest AS BIGINT) AS board_digest, 2 * n AS white_turns, 12 * n AS rights, CAST(0 AS BIGINT) AS comments,
+  CAST(19 AS BIGINT) AS replies, n AS num_games, 2 * n AS num_moves, 3 * n AS num_positions FROM t CROSS JOIN b""",
+    ),
+    "v1_v2_v4_v13_v15_x5_views": (
+        game_views,
+        f"""WITH {_OPEN}, r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM o), u AS (SELECT o_orderkey, ply, {_NAME.format('from_sq')} || {_NAME.format('to_sq')} AS uci FROM m)
+SELECT CAST(i AS BIGINT) AS game_index, a.uci || ' ' || b.uci AS moves, b.uci AS second, '<PyGameView ? vs ?, 2 moves, valid=True>' AS shown, CAST(2 AS BIGINT) AS moves_made, outcome, false AS is_game_over
+FROM r JOIN u a ON r.o_orderkey = a.o_orderkey AND a.ply = 0 JOIN u b ON r.o_orderkey = b.o_orderkey AND b.ply = 1 WHERE i IN (0, n - 1, n // 2) OR (i - 1) % (n // 5) = 0 AND i >= 1""",
+    ),
+    "s2_s3_s6_arrays": (arrays_in_memory, "SELECT CAST(s AS BIGINT) AS source, row_number() OVER (PARTITION BY s ORDER BY c_custkey) - 1 AS game_index, CASE c_custkey % 4 WHEN 0 THEN 'White' WHEN 1 THEN 'Black' WHEN 2 THEN 'Draw' ELSE 'Unknown' END AS outcome, CAST(2 AS BIGINT) AS num_moves FROM customer CROSS JOIN (VALUES (0), (1), (2)) t(s)"),
+    "s5_s7_s11_v3_refusals": (
+        refusals,
+        """SELECT * FROM (VALUES ('no game', 'ValueError', 'no game found in PGN'), ('broken off', 'LexError', 'unterminated comment'), ('integers', 'ValueError', 'Unsupported array type in ChunkedArray: bigint'), ('no column', 'ValueError', 'Unsupported array type in ChunkedArray: no column movetext'),
+ ('index', 'IndexError', 'Game index 2 out of range [0, 2)'), ('negative index', 'IndexError', 'Game index -3 out of range [0, 2)'), ('key', 'TypeError', 'Invalid index type: expected int or slice, got str'), ('move index', 'IndexError', 'Move index 7 out of range [0, 7)')) t(name, kind, message)""",
+    ),
+    "g2_v11_optional_columns": (optional_columns, "SELECT o_orderkey, b AS comments, b AS legal_moves FROM orders CROSS JOIN (VALUES (true), (false)) t(b) WHERE o_orderkey % 11 = 8"),
+    "s9_s10_parquet": (parquet_files, f"WITH {_OPEN} SELECT outcome, count(*) AS games, false AS reads_other FROM o GROUP BY outcome"),
     "rel_rollup": (
         outcome_by_segment,
         f"SELECT c_mktsegment, outcome, count(*) AS games, CAST(sum(num_moves) AS BIGINT) AS moves, CAST(grouping(c_mktsegment, outcome) AS BIGINT) AS level FROM orders JOIN {_FACTS} ON o_orderkey % {len(GOLDEN)} = g.k JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, outcome)",
