@@ -51,7 +51,7 @@ SINGLE = [
 _SINGLE_FACTS = """(VALUES
  (2, 'White', true, 2, false, 29, 0, 'KQkq', 1, 4, NULL, NULL), (3, 'Unknown', false, 1, false, 20, 0, 'KQkq', 0, 4, NULL, NULL),
  (4, 'Unknown', true, 2, false, 29, 0, 'KQkq', 1, 4, 1.5, 9.0), (5, 'Draw', true, 6, false, 29, 4, '', 1, -1, NULL, NULL),
- (6, 'Unknown', true, 4, false, 23, 2, 'Kq', 1, -1, NULL, NULL), (7, 'Black', false, 4, true, 0, 1, 'KQkq', 1, -1, NULL, NULL),
+ (6, 'Unknown', true, 4, false, 27, 2, 'Kq', 1, -1, NULL, NULL), (7, 'Black', false, 4, true, 0, 1, 'KQkq', 1, -1, NULL, NULL),
  (9, 'Unknown', true, 8, false, 25, 4, '', 1, -1, NULL, NULL)
 ) g(k, outcome, is_valid, num_moves, is_checkmate, legal_move_count, halfmove_clock, castling, white_to_move, en_passant, eval, clock)"""
 _FACTS = """(VALUES
