@@ -227,7 +227,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = EF_SEAR
                 if rows:
                     yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
 
-    both = nodes.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "qid")
+    both = nodes.unionByName(asked).repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "kind", "qid")
     found = store(both.mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

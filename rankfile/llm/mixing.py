@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, apart, numbered, row_columns, store
+from .common import WORD, apart, numbered, ranked, row_columns, store
 
 #: Words of the remaining budget that the dynamic programme fits exactly.
 DP_WORDS = 1 << 16
@@ -82,16 +82,9 @@ def goals(hist: DataFrame, weights: tuple[float, ...], share: float, cap: float)
     times its source's size and the excess is shared anew by weight. Sources are ranked by ranges, and each round of
     sharing is one aggregate, so that they may be many; the driver sees sums only.
     """
-    spark = hist.sparkSession
-    last = F.col("source").isNull()
     sums = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = store(sums.repartitionByRange(parts, last, "source").withColumn("_part", F.spark_partition_id()), "mix-sources")
-    before = dealt.groupBy("_part").agg(F.count("*").alias("n")).select(F.col("_part").alias("_p"), (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(last, "source")) - 1
-    ranked = dealt.withColumn("_place", place).join(before, F.col("_part") == F.col("_p"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_place") + F.col("_before"), F.lit(len(weights))) + 1).cast("int"))
-    weighed = store(ranked.select("source", "source_size", weight.alias("w")), "mix-weights")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_place", F.lit(len(weights))) + 1).cast("int"))
+    weighed = store(ranked(sums, "source", "_place").select("source", "source_size", weight.alias("w")), "mix-weights")
     capped = F.col("source_size") * F.lit(float(cap))
     level, full = None, -1
     while True:
@@ -133,8 +126,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     by salted buckets, so one length or source may hold any share of the rows. Repeated rows are ranked as rows of their
     own, in any order among themselves; other columns are left out; an empty table gives no rows.
     """
-    ranked, plan = _planned(docs, weights, share, cap, seed)
-    out = ranked.join(plan, _same_length())
+    rows_ranked, plan = _planned(docs, weights, share, cap, seed)
+    out = rows_ranked.join(plan, _same_length())
     times = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("passes") + (F.col("_rank") < F.col("take")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
@@ -146,8 +139,8 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     read, by its (source, length)'s greatest hash taken; this plan, a row for each (source, length), is broadcast up to
     PLAN_ROWS rows. Only rows that share that hash with one not taken (repeated rows) are ranked, by a hash of the row.
     """
-    ranked, plan = _planned(docs, weights, share, cap, seed)
-    edge = ranked.join(plan, _same_length()).where("size > 0")
+    rows_ranked, plan = _planned(docs, weights, share, cap, seed)
+    edge = rows_ranked.join(plan, _same_length()).where("size > 0")
     at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_u")))
     edges = edge.groupBy("_source", "_size").agg(F.max("passes").alias("_passes"), F.max("take").alias("_take"), at(F.col("take") - 1).alias("_last"), at(F.col("take")).alias("_next"))
     edges = store(edges, "mix-edges", 1)
@@ -160,7 +153,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     out = each(met.where(~cut).withColumn("_times", times).where("_times > 0"))
     if edges.where("_last = _next").isEmpty():
         return out
-    first = ranked.join(edges.where("_last = _next"), _same_length() & (F.col("_u") == F.col("_last"))).groupBy("_source", "_size").agg(F.min("_rank").alias("_first"))
+    first = rows_ranked.join(edges.where("_last = _next"), _same_length() & (F.col("_u") == F.col("_last"))).groupBy("_source", "_size").agg(F.min("_rank").alias("_first"))
     again = met.where(cut).withColumn("_nth", F.row_number().over(Window.partitionBy("_source", "_size").orderBy(F.xxhash64("_row"))))
     first = first.withColumnsRenamed({"_source": "_fs", "_size": "_fz"})
     again = again.join(first, F.col("_source").eqNullSafe(F.col("_fs")) & (F.col("_size") == F.col("_fz")))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import apart, row_columns
 
-#: Most 64-bit blocks that the filter takes (1 MB as a literal); longer lists only lower its precision.
-MAX_BLOCKS = 1 << 17
+#: Most 64-bit blocks that the filter takes (8 MB as a literal, for some 4 million rules); beyond it ever more keys pass
+#: on to the join, which decides.
+MAX_BLOCKS = 1 << 20
 #: Bits set for each key within its block.
 PROBES = 4
 
@@ -44,13 +45,13 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict to `pages`.
 
-    rules: (rule, action); a rule is `host/path-prefix`. It fits its host and all subdomains if the url's path
+    rules: (rule, action); a rule is `host/path-prefix` (no /: all of the host). It fits its host and all subdomains if the url's path
     starts with /path-prefix; the longest rule wins (then the smaller string; a rule listed with several actions
     takes `block` before `allow`). Where no rule fits, rule is null and verdict is `default`.
 
     A url's candidate keys are its host's suffixes joined with its path's prefixes of the lengths that rules have.
-    The Bloom filter (one block of 64 bits a key, built by bit_or, passed to the scan as a scalar subquery of at most
-    MAX_BLOCKS longs) drops nearly all keys as they are made; those left meet the list in an exact
+    The Bloom filter (one block of 64 bits a key, built by bit_or, passed to the scan as a scalar subquery, an array of at
+    most MAX_BLOCKS longs that grows with the list) drops nearly all keys as they are made; those left meet the list in an exact
     equality join, which removes false positives. Distinct (host, path prefix) probes are joined once, so a host with
     a third of all pages adds one probe a task. Null urls and urls without :// have an empty host, which fits no rule.
     Repeated rows each get their verdict; other columns of `pages` pass through, but columns named host, path, rule
@@ -58,18 +59,21 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     listed = rules.where(F.col("rule").isNotNull()).groupBy("rule").agg(F.max("action").alias("action"))  # block > allow
-    listed = listed.withColumn("_h", F.xxhash64("rule"))
+    # a rule without a path is its host's, as if it ended in /
+    whole = F.when(F.instr("rule", "/") > 0, F.col("rule")).otherwise(F.concat("rule", F.lit("/")))
+    listed = listed.withColumn("_key", whole).withColumn("_h", F.xxhash64("_key"))
     # what is known of the list is of bounded size: its count and its rules' path and host depths
     facts = listed.agg(
         F.count("*").alias("n"),
-        F.array_sort(F.collect_set(F.length("rule") - F.instr("rule", "/"))).alias("lengths"),
+        F.array_sort(F.collect_set(F.length("_key") - F.instr("_key", "/"))).alias("lengths"),
     ).first()
     blocks = 1
     while blocks < min(MAX_BLOCKS, max(1, facts["n"] // 4)):
         blocks *= 2
     words = listed.groupBy(_block(F.col("_h"), blocks).alias("b")).agg(F.bit_or(_mask(F.col("_h"))).alias("w"))
-    # map_from_entries of the set blocks only; an absent block holds no key
-    filter_map = words.agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m")).scalar()
+    # all blocks in order, so that a probe is one look at its place
+    every = words.union(rules.sparkSession.range(blocks).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("b").agg(F.bit_or("w").alias("w"))
+    bits = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("m")).scalar()
 
     pages = pages.drop("host", "path", "rule", "verdict")
     rows = apart(pages, host.alias("host"), path.alias("path"))
@@ -87,10 +91,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     def possible(k: Column) -> Column:
         h = F.xxhash64(k)
-        word = F.coalesce(F.try_element_at(filter_map, _block(h, blocks)), F.lit(0).cast("long"))
+        word = F.element_at(bits, _block(h, blocks) + 1)
         return word.bitwiseAND(_mask(h)) == _mask(h)
 
-    hits = probes.withColumn("rule", F.explode(keys)).where(possible(F.col("rule"))).join(listed.drop("_h"), "rule")
+    hits = probes.withColumn("_key", F.explode(keys)).where(possible(F.col("_key"))).join(listed.drop("_h"), "_key")
     best = hits.groupBy("_host", "_lead").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("_best"))
     out = rows.withColumn("_path_lead", lead).join(best, (F.col("host") == F.col("_host")) & (F.col("_path_lead") == F.col("_lead")), "left")
     return out.select(

@@ -117,7 +117,7 @@ def brute_url(url, rules):
 
 def test_url_filter(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)) + [(3, URLS[3])], "page_id long, url string").selectExpr("*", "1 AS rule", "2 AS b", "3 AS w", "4 AS _host")
-    rules = queries.RULES + [("x.net/fr", "block"), ("com./", "block")]
+    rules = queries.RULES + [("x.net/fr", "block"), ("com./", "block"), ("badexample.com", "block")]
     got = urlfilter.url_filter(pages, urlfilter.rules_frame(spark, rules))
     same(got.select("page_id", "host", "path", "rule", "verdict").collect(), [(r["page_id"], *brute_url(r["url"], rules)) for r in pages.collect()])
     real = table(spark, "pages").select("page_id", "url")

@@ -201,5 +201,56 @@ def test_a_group_too_large_for_a_shard_is_split(spark):
     assert len(size) == 16 and max(size) < 1.05 * min(size)
 
 
+def brute_leaves(items, dims, shards):
+    """(nodes, cuts) of the plain k-d tree: at each node the widest dimension, sorted by level and tie, halved by weight."""
+    nodes, total = {1: items}, sum(r["w"] for r in items)
+    while len(nodes) < shards:
+        below = {}
+        for n, rows in nodes.items():
+            spread = {d: max((r[d] for r in rows), default=0) - min((r[d] for r in rows), default=0) for d in dims}
+            d = max(dims, key=lambda d: (spread[d], -dims.index(d)))
+            rows = sorted(rows, key=lambda r: (r[d], r["tie"]))
+            half, at, best = sum(r["w"] for r in rows) / 2, 0, 0
+            for r in rows:
+                if at >= half:
+                    break
+                at, best = at + r["w"], best + 1
+            below[2 * n], below[2 * n + 1] = rows[:best], rows[best:]
+        nodes = below
+    return nodes, total
+
+
+def test_leaves_are_those_of_the_plain_tree(spark):
+    """Each leaf holds the plain tree's items but for those at a cut, whose weight is below a thousandth of the node's."""
+    docs = table(spark, "documents", "/root/testdata/sf0.01")
+    _, items, n = sharding.kd_items(docs, 16)
+    got = sharding.kd_leaves(items, sharding.DIMS, 16, n).collect()
+    want, total = brute_leaves(got, sharding.DIMS, 16)
+    of = {r["_t"]: node for node, rows in want.items() for r in rows}
+    moved = sum(r["w"] for r in got if of[r["_t"]] != r["_node"])
+    assert set(of.values()) == set(range(16, 32)) == {r["_node"] for r in got} and moved < 0.02 * total
+    one = {r["tie"]: r for r in got}
+    assert len(one) == len(got)  # ties are distinct, so keys are
+
+
+def test_sources_alike_in_their_first_bytes_are_told_apart(spark):
+    rows = [(i, f"text {i} " + "w " * 30, "en", f"https://host{i % 4}.org" if i % 5 else None, 1) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    _, items, _ = sharding.kd_items(docs, 4)
+    assert items.select("d_source").distinct().count() == 5 and items.where("d_source = 0").count() == 160
+    placed = sharding.kd_shards(docs.where("source IS NOT NULL"), 4, keep=("source",))
+    assert placed.groupBy("shard").agg({"source": "min"}).toDF("shard", "a").join(placed.groupBy("shard").agg({"source": "max"}).toDF("shard", "z"), "shard").where("a = z").count() >= 2
+
+
+def test_a_third_of_null_texts(spark):
+    rows = [(i, None if i % 3 == 0 else f"text {i} " * (i % 40 + 1), "en", f"s{i % 7}", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sharding.kd_shards(docs, 16).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == 6000 and len(size) == 16 and max(size.values()) < 1.1 * min(size.values())
+
+
 def test_fixture_has_repeats():
     assert len(awkward_rows()) > len(set(awkward_rows()))
