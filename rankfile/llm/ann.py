@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, store
 
 #: Shards: this many at least (so that a small table is spread too), and no shard over so many distinct vectors.
-LEAST_SHARDS, SHARD_ROWS = 8, 1 << 17
+LEAST_SHARDS, SHARD_ROWS = 8, 1 << 14
 #: Links of a node (twice as many on the ground layer), and list lengths while building and searching.
 LINKS, EF_BUILD, EF_SEARCH = 16, 80, 160
 

@@ -36,13 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else LOCAL_SHARED
 
 
-def store(df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
+#: Tables written within the scratch() blocks that are open, the innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what store() wrote within it, but for tables that are to be kept: nothing that is still to run
+    may read the others."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCRATCH.pop())
+
+
+def store(df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROWS, keep: bool = False) -> DataFrame:
     """Writes `df` to the shared folder and reads it back.
 
     This cuts the lineage (a lost executor costs no earlier stage) and gives the planner true sizes. rows: about how
     many rows `df` has at most, if known; the last stage then has a task (and a file) for each `per` of them, so that
     small tables are not written as hundreds of files. The files go when the driver's file system closes, or by
-    discard().
+    discard(), or at the end of the innermost scratch(), if `keep` does not leave them to the one around it.
     """
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // per)))
@@ -54,6 +69,8 @@ def store(df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROW
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = target
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(out)
     return out
 
 

@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import numbered, small_batches, store, texts
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces shorter than a window that a task holds before it packs and releases them.
 PENDING = 1_000_000
+#: Share of a window from which its pieces stay in it in the second round.
+FILLED = 0.99
 #: White-space characters in a row from which a text takes the slower reader.
 LONG_RUN = 100_000
 BLANK_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
@@ -115,16 +117,71 @@ def pieces_of(ids: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int,
         yield start, len(part), zlib.crc32(part.tobytes())
 
 
+def best_fit_by_counts(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit decreasing over counts of pieces by length, all of a length that find the same room at once.
+
+    Gives (length, first piece, pieces, host's length, first host, offset): pieces are numbered from 0 within their
+    length, a window is known by the piece that opened it, and so many pieces and hosts from the first on are matched
+    one to one.
+    """
+    tree, groups, out = CapacityTree(window), [], []
+    for length in sorted(counts, reverse=True):
+        at, left = 0, counts[length]
+        while left:
+            found = tree.take(length)
+            if found is None:  # as many windows as hold the others of this length
+                n, room = -(-left // (window // length)), window
+                host = (length, at, n)
+            else:
+                room, (of, first, hosts) = found[0], groups[found[1]]
+                n = min(left, hosts)
+                host = (of, first, n)
+                if hosts > n:
+                    groups.append((of, first + n, hosts - n))
+                    tree.add(room, len(groups) - 1)
+            out.append((length, at, n, host[0], host[1], window - room))
+            if room > length:
+                groups.append(host)
+                tree.add(room - length, len(groups) - 1)
+            at, left = at + n, left - n
+    return out
+
+
+def packed_again(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`pieces` with those of windows that are filled to less than FILLED packed anew among themselves.
+
+    `pieces` must be a written table. Tasks leave few such windows, unless they are small. The driver gets counts by
+    length (at most `window` of them) and makes the plan; pieces take their places by their rank within their length.
+    """
+    spark = pieces.sparkSession
+    used = pieces.groupBy("sequence_id").agg(F.sum("length").alias("_used"))
+    poor = store(used.where(F.col("_used") < FILLED * window).select(F.col("sequence_id").alias("_poor")), "pack-poor")
+    n = poor.count()
+    if n < 2:
+        return pieces
+    loose = store(pieces.join(poor, F.col("sequence_id") == F.col("_poor"), "left_semi"), "pack-loose", n)
+    counts = {r["length"]: r["n"] for r in loose.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan = spark.createDataFrame(best_fit_by_counts(counts, window), "_length long, _at long, _n long, _host long, _first long, _offset long")
+    order = [F.xxhash64("sequence_id", "offset"), F.col("sequence_id"), F.col("offset")]
+    ranked = numbered(loose.withColumn("_u", order[0]), ["length"], [F.col("_u"), *order[1:]], sum(counts.values()), "_rank")
+    same = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_at")) & (F.col("_rank") < F.col("_at") + F.col("_n"))
+    # a window's number: its host's length and place, above all numbers that tasks give
+    number = F.lit(1 << 62) + F.shiftleft("_host", 44) + F.col("_first") + F.col("_rank") - F.col("_at")
+    placed = ranked.join(F.broadcast(plan), same).withColumns({"sequence_id": number, "offset": F.col("_offset")})
+    stay = pieces.join(poor, F.col("sequence_id") == F.col("_poor"), "left_anti")
+    return stay.union(placed.select(*pieces.columns))
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, pending: int = PENDING) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its ids and then END_ID; null text is empty and so is the end id alone. Full windows are cut off
-    first and are sequences of their own. The rests (under a window each) are packed by best-fit decreasing within
-    the task that tokenized them, so no row is shuffled and no key can be hot; a task holds `pending` rests at most and
-    then packs them. A scan task's hundreds to millions of rests leave under a few tenths of a percent of padding.
-    sequence_id is (partition, window in it) in one long. The outcome depends only on the rows and how they are
-    split into tasks, so a repeated task gives the same rows. Repeated rows are packed again; columns other than
-    doc_id and text are not read; an empty table gives no rows.
+    A document is its ids and then END_ID; null text is empty and so is the end id alone; texts of any length are read
+    whole. Full windows are cut off first and are sequences of their own. The rests (under a window each) are packed by
+    best-fit decreasing within the task that tokenized them, so no text is shuffled and no key can be hot; a task holds
+    `pending` rests at most and then packs them. The pieces of windows that tasks leave badly filled are then packed
+    again, together (see packed_again()), so that small files and blocks cost no padding. sequence_id is (partition,
+    window in it) in one long. The outcome depends only on the rows and how they are split into tasks, so a repeated task gives the same
+    rows. Repeated rows are packed again; columns other than doc_id and text are not read; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 
@@ -160,4 +217,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, p
                 yield from flush()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    pieces = store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA), "pack-pieces")
+    return packed_again(pieces, window)

@@ -212,7 +212,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """Adds `spans` (kind, start, end, value; base kinds, then terms outside base spans) and `removed` to each row.
 
     Null text has no spans. Rows keep their columns; own columns named spans or removed are replaced. Repeated rows
-    get equal spans. The table of risky documents is joined only if there are any, on (doc_id, hash of the text), to
+    get equal spans; an empty table gives no rows; texts of any length are searched whole. The table of risky documents is joined only if there are any, on (doc_id, hash of the text), to
     the rows that may hold an entity.
     """
     docs = docs.drop("spans", "removed")
@@ -224,7 +224,8 @@ def _join_spans(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (as a string), n_term of each row of `docs`."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (as a string), n_term of each row of `docs`, as
+    with_spans() finds them."""
     found = with_spans(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "term")
@@ -234,7 +235,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with text rewritten: a base span becomes <KIND>, a term <TERM> or nothing; n_chars follows if present.
 
-    Overlapping spans are replaced as one, by the mark of the first. Rows without spans keep their text as it is.
+    Overlapping spans are replaced as one, by the mark of the first. Rows without spans keep their text as it is, null
+    and empty ones too; repeated rows stay rows; an empty table gives no rows; other columns pass through.
     """
     found = _spanned(docs)
     text = F.coalesce("text", F.lit(""))

@@ -93,7 +93,7 @@ def judge(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
     A document is dropped if it fails the base rules or its host (column source) is rejected. The measures are taken
     once and stored without the texts; host counts combine before the shuffle, and verdicts (a row a host) are joined
-    back on narrow rows. Null text fails by length. Repeated rows count and are judged as rows of their own.
+    back on narrow rows. Null text fails by length; texts of any length are measured whole. Repeated rows count and are judged as rows of their own.
     An empty table gives no rows; further columns are left out.
     """
     small_batches(docs.sparkSession)
@@ -106,8 +106,9 @@ def judge(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of `docs` (all their columns) that judge() keeps. Texts are never shuffled: they are measured a
-    second time beside the host verdicts, which the first pass needs whole."""
+    """The rows of `docs` (all their columns) that judge() keeps, repeated rows each. Texts are measured a second time
+    beside the host verdicts, which the first pass needs whole; they are shuffled only where the list of rejected hosts
+    is too large for the planner to broadcast it."""
     small_batches(docs.sparkSession)
     failed = docs.select(F.col("source").alias("_host"), base_failed(metrics(F.col("text"))).alias("_failed"))
     hosts = host_verdicts(failed, "_host", "_failed", limit)

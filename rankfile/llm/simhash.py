@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, bloom_filters, discard, row_columns, small_batches, store, texts
+from .common import apart, bloom_filters, discard, row_columns, scratch, small_batches, store, texts
 
 BITS = 64
 SEED = 42
@@ -144,7 +144,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        pairs = store(small.distinct(), "links", state["n"])
+        before, pairs = pairs, store(small.distinct(), "links", state["n"])
+        discard(before)
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -199,7 +200,7 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
 def classes(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
-    Null and wordless texts have fingerprint zero and link like any other. Copies share a fingerprint and so are one
+    Null and wordless texts have fingerprint zero and link like any other; texts of any length are hashed whole. Copies share a fingerprint and so are one
     node with their smallest doc_id; only distinct fingerprints are indexed. Repeated rows stay rows. A null doc_id is
     no node: its row has the component of its fingerprint's other rows, else null. An empty table gives no rows;
     columns other than doc_id and text are not read.
@@ -207,7 +208,9 @@ def classes(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     prints = store(fingerprints(docs, size), "fingerprints")
     n = prints.count()
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", n)
-    roots = components(store(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance), "raw-links"))
+    raw = store(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance), "raw-links")
+    roots = components(raw)
+    discard(raw)
     of = distinct.join(roots, distinct.id == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -401,8 +404,8 @@ def _fetched(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_nodes(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """nid, of (doc_id and text_hash of the row of the smallest doc_id), shingles, keys of each distinct sequence of
-    lowered words, which two 64-bit hashes tell apart; and (_id, _hash) of the rows that are repeated. Both are stored;
-    nid is a number given on writing."""
+    lowered words, which two 64-bit hashes tell apart; and (_id, _hash) of the rows that are repeated. nid is a
+    number given on writing."""
     small_batches(docs.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,9 +427,7 @@ def near_nodes(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
     same = rows.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
     nodes = store(same.select(F.monotonically_increasing_id().alias("nid"), "of", "shingles", "keys"), "near-nodes")
     repeated = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = store(repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "near-repeated")
-    discard(rows)
-    return nodes, repeated
+    return nodes, repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -487,10 +488,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     hash of the text, repeated rows (same doc_id and text) leave one, that of the least hash of the row. An empty
     table gives no rows. Other columns pass through, whatever their names.
     """
-    nodes, repeated = near_nodes(docs, size)
-    roots = components(near_links(docs, nodes, size, similarity)).withColumnsRenamed({"node": "_n"})
-    grouped = nodes.select("nid", "of").join(roots, F.col("nid") == F.col("_n"), "left").groupBy(F.coalesce("root", "nid").alias("g")).agg(F.min("of").alias("s"))
-    stay = store(grouped.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash")), "near-stay")
+    with scratch():
+        nodes, repeated = near_nodes(docs, size)
+        roots = components(near_links(docs, nodes, size, similarity)).withColumnsRenamed({"node": "_n"})
+        grouped = nodes.select("nid", "of").join(roots, F.col("nid") == F.col("_n"), "left").groupBy(F.coalesce("root", "nid").alias("g")).agg(F.min("of").alias("s"))
+        stay = store(grouped.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash")), "near-stay", keep=True)
+        repeated = store(repeated, "near-repeated", keep=True)
     key = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash"))
     out = apart(docs, F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t")).join(stay, key, "left_semi")
     if repeated.isEmpty():

@@ -54,7 +54,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     most MAX_BLOCKS longs that grows with the list) drops nearly all keys as they are made; those left meet the list in an exact
     equality join, which removes false positives. Distinct (host, path prefix) probes are joined once, so a host with
     a third of all pages adds one probe a task. Null urls and urls without :// have an empty host, which fits no rule.
-    Repeated rows each get their verdict; other columns of `pages` pass through, but columns named host, path, rule
+    Repeated rows each get their verdict; urls of any length are read whole; an empty table gives no rows; other columns of `pages` pass through, but columns named host, path, rule
     or verdict are replaced. An empty rule list gives `default` for all.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))

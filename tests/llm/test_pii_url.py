@@ -1,5 +1,10 @@
 import hashlib
+import math
 import re
+from collections import defaultdict
+
+import regex
+from pyspark.sql import functions as F
 
 from rankfile.llm import pii, queries, urlfilter
 
@@ -80,6 +85,35 @@ def test_terms_are_weighed_by_classes_of_documents(spark):
     assert len({classes[of[k]] for k in (80, 81, 82, 83, 90)}) == 1 and len(set(classes.values())) == len(rows) - 4
 
 
+def test_risks_are_those_of_plain_counts(spark):
+    """disclosing_terms() against counts of classes in plain Python, over all documents of a table."""
+    docs = table(spark, "documents", "/root/testdata/sf0.01")
+    class_of = {r["h"]: r["c"] for r in pii.near_classes(docs).collect()}
+    holds, spelled, together = defaultdict(set), defaultdict(set), defaultdict(set)
+    for r in docs.selectExpr("text", "xxhash64(text) AS h").where("text IS NOT NULL").collect():
+        c, text = class_of[r["h"]], r["text"]
+        terms = {t for t in regex.findall(r"[\p{L}\p{N}]+", text.lower()) if len(t) >= pii.TERM_CHARS}
+        for t in terms:
+            spelled[t].add(c)
+        for e in {text[a:z] for _, a, z in brute(text)}:
+            holds[e].add(c)
+            for t in terms:
+                together[(e, t)].add(c)
+    total = len(set(class_of.values()))
+    want = {}
+    for (e, t), both in together.items():
+        n_e, n_et, n_t = len(holds[e]), len(both), len(spelled[t])
+        if n_et < pii.SUPPORT and n_et != n_t or n_e == total:
+            continue
+        risk = min(1.0, math.log(n_et * total / (n_e * (n_t + pii.PRIOR))) / math.log(total / n_e))
+        if risk >= pii.GENERALISE:
+            want[(e, t)] = risk
+    held = docs.where("text IS NOT NULL").select("doc_id", "text", F.array_distinct(F.transform(pii.base_spans(F.col("text")), lambda s: s["value"])).alias("values")).where(F.size("values") > 0)
+    got = {(r["entity"], r["term"]): r["risk"] for r in pii.disclosing_terms(docs, held).collect()}
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_terms_in_other_lines_and_far_away_go(spark):
     many = " ".join(["of the matter"] * 10)
     rows = [(0, "Quillon Underhill\nquil@x.org"), (1, f"Vandermeer spoke {many} to van@x.org"), (2, "Ostrander\n\nthe matter spoke\n\nost@x.org")]

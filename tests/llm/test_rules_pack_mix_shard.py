@@ -96,6 +96,31 @@ def test_packing(spark):
     assert filled > 0.98
     check_pieces(packing.pack(docs.repartition(1), pending=50).collect(), docs.select("doc_id", "text").collect())
     assert packing.pack(empty(spark)).count() == 0
+    parts = docs.repartition(60)  # as of many small files
+    filled = check_pieces(packing.pack(parts).collect(), docs.select("doc_id", "text").collect())
+    assert filled > 0.98
+
+
+@given(st.lists(st.integers(1, 30), max_size=80))
+def test_best_fit_by_counts_places_each_piece_once(lengths):
+    counts, held, placed = Counter(lengths), {}, set()
+    for length, at, n, of, first, offset in packing.best_fit_by_counts(counts, 30):
+        for k in range(n):
+            host = (of, first + k)
+            assert offset == held.get(host, 0) and (offset or host == (length, at + k))
+            held[host] = offset + length
+            placed.add((length, at + k))
+    assert placed == {(z, k) for z, n in counts.items() for k in range(n)} and sum(held.values()) == sum(lengths)
+    assert all(z <= 30 for z in held.values()) and sum(z <= 15 for z in held.values()) <= 1
+    one_by_one, _ = packing.best_fit_decreasing(np.asarray(lengths, dtype=np.int64), 30)
+    assert len(held) <= 1.25 * len(set(one_by_one.tolist())) + 1
+
+
+def test_overlong_document_and_tiny_windows(spark):
+    rows = [(i, "word " * (i % 7)) for i in range(300)] + [(900, "many words " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(50)
+    got = packing.pack(docs)
+    assert check_pieces(got.collect(), docs.collect()) > 0.7 and got.select("sequence_id").distinct().count() <= 5
 
 
 def brute_targets(sizes, weights, share, cap):
