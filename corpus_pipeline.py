@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankfile.llm import mixing, packing, pii, quality_rules, simhash
-from rankfile.llm.common import store, table
+from rankfile.llm.common import discard, store, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = store(docs, f"stage{k}")
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        out = store(out, f"stage{k}")
+        if k:  # the stage before last is read no more
+            discard(docs)
+        docs = out
