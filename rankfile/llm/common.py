@@ -20,7 +20,7 @@ BUCKET_ROWS = 20_000
 #: Tasks that write a table of known size: one for so many rows, and some at least.
 FILE_ROWS, LEAST_FILES = 1 << 20, 16
 #: Bytes of an Arrow batch that goes to Python.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -224,7 +224,7 @@ SEGMENTS, PLACES = 10, 5
 #: Most shingles, and texts, of a block of a cell: what one task compares at once.
 BLOCK_SHINGLES, BLOCK_TEXTS = 2_000_000, 4096
 #: Shingles whose permutations are made at once, and words whose hashes a task keeps.
-STEP, KEPT_WORDS = 4096, 1 << 20
+STEP, KEPT_WORDS = 4096, 1 << 17
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (3, max(64, SEGMENTS * PLACES)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
