@@ -85,14 +85,13 @@ def test_terms_are_weighed_by_classes_of_documents(spark):
     assert len({classes[of[k]] for k in (80, 81, 82, 83, 90)}) == 1 and len(set(classes.values())) == len(rows) - 4
 
 
-def test_risks_are_those_of_plain_counts(spark):
-    """disclosing_terms() against counts of classes in plain Python, over all documents of a table."""
-    docs = table(spark, "documents", "/root/testdata/sf0.01")
+def plain_risks(docs):
+    """Risks by (entity, term), from counts of classes in plain Python over all rows of `docs`."""
     class_of = {r["h"]: r["c"] for r in pii.near_classes(docs).collect()}
     holds, spelled, together = defaultdict(set), defaultdict(set), defaultdict(set)
     for r in docs.selectExpr("text", "xxhash64(text) AS h").where("text IS NOT NULL").collect():
         c, text = class_of[r["h"]], r["text"]
-        terms = {t for t in regex.findall(r"[\p{L}\p{N}]+", text.lower()) if len(t) >= pii.TERM_CHARS}
+        terms = terms_of(text)
         for t in terms:
             spelled[t].add(c)
         for e in {text[a:z] for _, a, z in brute(text)}:
@@ -100,14 +99,47 @@ def test_risks_are_those_of_plain_counts(spark):
             for t in terms:
                 together[(e, t)].add(c)
     total = len(set(class_of.values()))
-    want = {}
+    out = {}
     for (e, t), both in together.items():
         n_e, n_et, n_t = len(holds[e]), len(both), len(spelled[t])
         if n_et < pii.SUPPORT and n_et != n_t or n_e == total:
             continue
         risk = min(1.0, math.log(n_et * total / (n_e * (n_t + pii.PRIOR))) / math.log(total / n_e))
         if risk >= pii.GENERALISE:
-            want[(e, t)] = risk
+            out[(e, t)] = risk
+    return out
+
+
+def terms_of(text):
+    return {t for t in regex.findall(r"[\p{L}\p{N}]+", text.lower()) if len(t) >= pii.TERM_CHARS}
+
+
+def plain_sanitised(text, risks):
+    """The text with its base spans and the terms that disclose one of its own entities replaced."""
+    base = brute(text)
+    risky = defaultdict(float)
+    for e in {text[a:z] for _, a, z in base}:
+        for t in terms_of(text):
+            if (e, t) in risks:
+                risky[t] = max(risky[t], risks[(e, t)])
+    spans = list(base)
+    if risky:
+        for m in regex.finditer(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(risky)) + r")(?![\p{L}\p{N}])", text):
+            if not any(a < m.end() and m.start() < z for _, a, z in base):
+                spans.append(("term", m.start(), m.end()))
+    out, at = [], 0
+    for kind, a, z in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            mark = f"<{kind.upper()}>" if kind != "term" or risky[text[a:z].lower()] < pii.REMOVE else ""
+            out += [text[at:a], mark]
+        at = max(at, z)
+    return "".join(out) + text[at:]
+
+
+def test_risks_are_those_of_plain_counts(spark):
+    """disclosing_terms() against counts of classes in plain Python, over all documents of a table."""
+    docs = table(spark, "documents", "/root/testdata/sf0.01")
+    want = plain_risks(docs)
     held = docs.where("text IS NOT NULL").select("doc_id", "text", F.array_distinct(F.transform(pii.base_spans(F.col("text")), lambda s: s["value"])).alias("values")).where(F.size("values") > 0)
     got = {(r["entity"], r["term"]): r["risk"] for r in pii.disclosing_terms(docs, held).collect()}
     assert len(want) > 100 and got.keys() == want.keys()

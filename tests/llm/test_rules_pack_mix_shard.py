@@ -187,7 +187,7 @@ def test_budget_of_a_large_corpus():
     assert (np.abs(take - counts * (budget / int((lengths * counts).sum()))) <= 1e-6 * counts + 10_000).all()
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 40])
+@pytest.mark.parametrize("n", [2, 40])
 def test_goals_of_many_sources(spark, n):
     rng = np.random.default_rng(n)
     sizes = {f"s{int(x)}\u00e9": int(10 ** rng.uniform(0, 5)) for x in rng.choice(1000, size=n, replace=False)} | {None: 50}
