@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .geometry import BETWEEN, BISHOP, BIT, DARK, FILE, FILES, KING, KNIGHT, LIGHT, NEXT, ONE, PAWN, RANK, RANKS, RAY, REACH, ROOK, highest, index, lowest
+from .geometry import BETWEEN, BISHOP, BIT, DARK, FILE, FILES, KING, KNIGHT, LIGHT, NEXT, PAWN, RANK, RANKS, RAY, REACH, ROOK, highest, index, lowest
 
 PAWN_ROLE, KNIGHT_ROLE, BISHOP_ROLE, ROOK_ROLE, QUEEN_ROLE, KING_ROLE = range(1, 7)
 START_CODES = np.zeros(64, dtype=np.uint8)

@@ -1,6 +1,6 @@
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,7 +151,7 @@ def test_order_over_files_of_unlike_size(spark, tmp_path):
     for k, n in enumerate((3, 4000, 5)):
         texts = pa.table({"movetext": [f'[Event "{k}-{i}"]\n\n1. e4 *' for i in range(n)]})
         (tmp_path / "g").mkdir(exist_ok=True)
-        pa.parquet.write_table(texts, f"{folder}/part-0000{k}.parquet", row_group_size=700)
+        pq.write_table(texts, f"{folder}/part-0000{k}.parquet", row_group_size=700)
     df = spark.read.parquet(folder)
     rows = from_table(df).orderBy("input_ordinal").collect()
     names = [r["movetext"].split('"')[1] for r in rows]
