@@ -67,11 +67,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task where rows are dealt out.
+TASK_ROWS = 1 << 18
+
+
 def _spread(rows: DataFrame) -> DataFrame:
-    """Narrow rows dealt out to all cores where a scan has fewer tasks (a file of one row group): what follows costs far
-    more than moving them."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores and rows.rdd.getNumPartitions() < cores else rows
+    """Narrow rows dealt out to all cores, and to tasks of TASK_ROWS however many there are, where a scan has fewer tasks
+    (a file of few row groups): what follows costs far more than moving them. The count reads no column."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def _opening(key) -> tuple:
