@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import api
 from .. import functions as C
-from ..operators.replay import replay
+from ..operators.replay import legal_summary, replay
 from ..sources import from_parquet, read_pgn
 from ..stored import shared_path, stored
 from .index import move_to_game, numbered_games, position_to_game
-from .tables import game_totals, legal_moves_table, moves_table, positions_table
+from .tables import game_totals, moves_table, positions_table
 
 #: Games with known facts, chosen by o_orderkey modulo their number.
 GOLDEN = [
@@ -127,22 +127,22 @@ def outcomes_of_openings(spark, sf_dir):
     return replay(opening_texts(spark, sf_dir), positions=False, status=False).groupBy("outcome").agg(F.count("*").alias("games"), F.sum("num_moves").alias("moves"))
 
 
-def _legal_facts(games: DataFrame) -> DataFrame:
-    legal = legal_moves_table(games, key="o_orderkey")
-    return legal.groupBy("o_orderkey", F.col("ply").cast("long").alias("ply")).agg(F.count("*").alias("n"), F.sum("from_sq").alias("from_sum"), F.sum("to_sq").alias("to_sum"), F.max("promotion").cast("long").alias("promotion"))
+def _legal_facts(texts: DataFrame) -> DataFrame:
+    """A row per game and ply: games are not brought together again by their key, so nothing is shuffled."""
+    return legal_summary(texts).select("o_orderkey", F.inline("legal"))
 
 
 def legal_moves_of_first_moves(spark, sf_dir):
     """Games of one pawn move: both positions have 20 moves, whatever it was."""
     a, b, _, _, end = _opening(F.col("o_orderkey"))
     texts = _spread(_read(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.concat(F.lit("1. "), a, b, F.lit(" "), end).alias("movetext"))
-    return _legal_facts(replay(texts, legal_moves=True, status=False))
+    return _legal_facts(texts)
 
 
 def legal_moves_of_games(spark, sf_dir):
     """All positions of the openings and of the golden games; held against a plain implementation, not SQL."""
     texts = opening_texts(spark, sf_dir).union(golden_texts(spark, sf_dir).select(-F.col("o_orderkey") - 1, "movetext"))
-    return _legal_facts(replay(texts, legal_moves=True, status=False))
+    return _legal_facts(texts)
 
 
 def status_of_golden_games(spark, sf_dir):

@@ -2,9 +2,12 @@
 
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from rankfile.operators import replay as replaying
-from rankfile.operators.replay import LOCKSTEP, columns, read_batch, replayed
 from rankfile.operators.generate import random_games
+from rankfile.operators.replay import LOCKSTEP, columns, legal_counts, read_batch, replay, replayed
+from rankfile.plans import legal_moves_table
 from rankfile.plans import queries as chess
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +47,16 @@ def test_tasks_are_bounded_in_rows(spark, monkeypatch):
     n = texts.count()
     assert n > 100 * spark.sparkContext.defaultParallelism
     assert texts.rdd.getNumPartitions() == -(-n // 100) and max(texts.rdd.glom().map(len).collect()) <= 110
+
+
+def test_legal_moves_are_summed_without_a_shuffle_of_single_moves(spark):
+    """As the table of single legal moves gives them, but neither it nor a grouping by game is made."""
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(chess.GOLDEN + random_games(30, 60, seed=8))], "o_orderkey long, movetext string")
+    single = legal_moves_table(replay(texts, legal_moves=True, status=False), key="o_orderkey")
+    want = single.groupBy("o_orderkey", "ply").agg(F.count("*"), F.sum("from_sq"), F.sum("to_sq"), F.max("promotion"))
+    got = chess._legal_facts(texts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = chess.legal_moves_of_games(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+    none = pa.table(dict(legal_counts(read_batch(["1. f3 e5 2. g4 Qh4# 0-1"])[1])))["legal"].to_pylist()[0]
+    assert [r["ply"] for r in none] == [0, 1, 2, 3]  # the mate has no legal move and no row
