@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from .functions import game_over, uci_list
 from .operators.lex import read_game
 from .operators.replay import columns, replay
-from .plans import legal_moves_table, move_to_game, moves_table, numbered_games, position_to_game, positions_table
+from .plans import game_index_table, legal_moves_table, move_to_game, moves_table, position_to_game, positions_table
 from .plans.tables import game_totals
 from .sources import from_arrow, from_strings, from_table
 from .stored import stored
 
+#: Positions of a chunk, if no number of chunks is asked for, and of a replaying task; a chunk ends with its last game.
+CHUNK_POSITIONS, TASK_POSITIONS = 1 << 18, 1 << 20
+
 _PROMOTION = {2: "n", 3: "b", 4: "r", 5: "q"}
 
 
@@ -111,18 +114,17 @@ class GameView:
 
 
 class ChunkView:
-    """The games of one partition as flat NumPy arrays with offsets (n + 1, from 0; 64 bits, as a chunk may be any size).
+    """A run of games as flat NumPy arrays with offsets (n + 1, from 0; 64 bits, as a chunk may be any size).
 
     Its rows are fetched, as Arrow, when an array is first asked for; other chunks are not.
     """
 
-    def __init__(self, games: DataFrame, part: int | None, stored_comments: bool, stored_legal: bool, index: int = 0):
-        self._games, self._part, self.stored_comments, self.stored_legal, self.index = games, part, stored_comments, stored_legal, index
+    def __init__(self, fetch: Callable[[], pa.Table], stored_comments: bool, stored_legal: bool, index: int = 0):
+        self._fetch, self.stored_comments, self.stored_legal, self.index = fetch, stored_comments, stored_legal, index
 
     @cached_property
     def _table(self) -> pa.Table:
-        part = self._games.where("false" if self._part is None else F.spark_partition_id() == self._part)
-        return part.toArrow().sort_by("game_index").combine_chunks()
+        return self._fetch().sort_by("game_index").combine_chunks()
 
     def _of(self, *path: str) -> pa.Array:
         """The values of a field, lists on the way to it laid end to end."""
@@ -187,11 +189,17 @@ class ChunkView:
 class ParsedGames:
     """A result: DataFrames for work in Spark (games, positions, moves, legal_moves), and indexing as of a sequence.
 
-    Indexing, iteration and NumPy chunks bring rows to the caller; the DataFrames do not.
+    Indexing, iteration and NumPy chunks bring rows to the caller; the DataFrames do not. What is kept
+    are numbered texts (cached when first used) and counts (written once): boards are some hundred times as large, and
+    are replayed from the texts that are asked for. keep() caches them where they are to be read often.
     """
 
-    def __init__(self, games: DataFrame, comments: bool = False, legal_moves: bool = False):
-        self.games, self.stored_comments, self.stored_legal = games, comments, legal_moves
+    def __init__(self, texts: DataFrame, ranges: DataFrame, parts: int | None = None, comments: bool = False, legal_moves: bool = False):
+        self._texts, self._ranges, self._asked, self.stored_comments, self.stored_legal = texts, ranges, parts, comments, legal_moves
+        self.games = self._replay(texts)
+
+    def _replay(self, texts: DataFrame) -> DataFrame:
+        return replay(texts, comments=self.stored_comments, legal_moves=self.stored_legal).drop("movetext")
 
     @property
     def positions(self) -> DataFrame:
@@ -212,13 +220,13 @@ class ParsedGames:
 
     @cached_property
     def _totals(self):
-        return game_totals(self.games).first()
+        return game_totals(self._ranges).first()
 
     num_games = property(lambda self: self._totals["num_games"])
     num_moves = property(lambda self: self._totals["num_moves"])
     num_positions = property(lambda self: self._totals["num_positions"])
 
-    num_chunks = property(lambda self: max(1, len(self._parts)))
+    num_chunks = property(lambda self: max(1, len(self._chunks)))
 
     def __len__(self) -> int:
         return self.num_games
@@ -232,7 +240,7 @@ class ParsedGames:
             if not at:
                 return []
             low, high = min(at[0], at[-1]), max(at[0], at[-1])
-            rows = self.games.where(F.col("game_index").between(low, high) & (F.pmod(F.col("game_index") - at[0], F.lit(abs(at.step))) == 0))
+            rows = self._replay(self._texts.where(F.col("game_index").between(low, high) & (F.pmod(F.col("game_index") - at[0], F.lit(abs(at.step))) == 0)))
             found = sorted(rows.collect(), key=lambda r: r["game_index"], reverse=at.step < 0)
             return [self._view(r) for r in found]
         if isinstance(key, (int, np.integer)) and not isinstance(key, bool):
@@ -240,27 +248,30 @@ class ParsedGames:
             i = int(key) + (n if key < 0 else 0)
             if not 0 <= i < n:
                 raise IndexError(f"Game index {key} out of range [0, {n})")
-            return self._view(self.games.where(F.col("game_index") == i).first())
+            return self._view(self._replay(self._texts.where(F.col("game_index") == i)).first())
         raise TypeError(f"Invalid index type: expected int or slice, got {type(key).__name__}")
 
     def __iter__(self) -> Iterator[GameView]:
-        for row in self.games.orderBy("game_index").toLocalIterator():
-            yield self._view(row)
+        for low, high in self._chunks:
+            for row in self._between(low, high).orderBy("game_index").toLocalIterator():
+                yield self._view(row)
 
     @cached_property
-    def _parts(self) -> list[int]:
-        """The partitions that hold games, in the order of their games: one row a partition."""
-        rows = self.games.groupBy(F.spark_partition_id().alias("part")).agg(F.min("game_index").alias("first")).orderBy("first").collect()
-        return [r["part"] for r in rows]
+    def _chunks(self) -> list[tuple[int, int]]:
+        """First and last game of each chunk: one row a chunk. As many chunks as were asked for, of equal counts of games;
+        else of CHUNK_POSITIONS, so that the caller's memory does not grow with the input."""
+        part = F.floor(F.col("position_offset") / CHUNK_POSITIONS) if self._asked is None else F.floor(F.col("game_index") * self._asked / max(1, self.num_games))
+        rows = self._ranges.groupBy(part.alias("part")).agg(F.min("game_index").alias("low"), F.max("game_index").alias("high")).orderBy("low").collect()
+        return [(r["low"], r["high"]) for r in rows]
+
+    def _between(self, low: int, high: int) -> DataFrame:
+        return self._replay(self._texts.where(F.col("game_index").between(low, high)))
 
     @property
     def chunks(self) -> list[ChunkView]:
-        """The result by partitions, in order; an empty result has one empty chunk."""
-        return [ChunkView(self.games, part, self.stored_comments, self.stored_legal, k) for k, part in enumerate(self._parts or [None])]
-
-    @cached_property
-    def _ranges(self) -> DataFrame:
-        return stored(self.games.select("game_index", "move_offset", "position_offset", "num_moves", "num_positions"), "ranges")
+        """The result in runs of games, in order; an empty result has one empty chunk."""
+        view = lambda k, low, high: ChunkView(lambda: self._between(low, high).toArrow(), self.stored_comments, self.stored_legal, k)
+        return [view(k, low, high) for k, (low, high) in enumerate(self._chunks or [(0, -1)])]
 
     def _map(self, index: Iterable[int], lookup, name: str) -> np.ndarray:
         values = np.asarray(index).ravel().astype(np.int64)
@@ -275,9 +286,15 @@ class ParsedGames:
     def move_to_game(self, index: Iterable[int]) -> np.ndarray:
         return self._map(index, move_to_game, "move_index")
 
+    def keep(self) -> ParsedGames:
+        """Caches the replayed games when `games` is first used."""
+        self.games.cache()
+        return self
+
     def close(self) -> None:
-        """Frees the replayed games that were kept; what is asked for afterwards is replayed anew."""
+        """Frees what is cached; what is asked for afterwards is made anew."""
         self.games.unpersist()
+        self._texts.unpersist()
 
     def __enter__(self) -> ParsedGames:
         return self
@@ -299,13 +316,16 @@ def _parts(spark: SparkSession, num_threads: int | None, chunk_multiplier: int |
 
 
 def _run(rows: DataFrame, parts: int | None, comments: bool, legal_moves: bool) -> ParsedGames:
-    """Counts moves (a pass that makes no boards), numbers the texts, deals them out by ranges of game_index, so that
-    partitions are contiguous chunks, and replays. Only texts are shuffled. The result is cached when first used."""
+    """Counts moves (a pass that makes no boards), numbers the texts, and deals them out in the order of game_index to
+    tasks of TASK_POSITIONS, however many chunks are asked for. Only texts are shuffled, and only they are cached."""
     counts = replay(rows, positions=False, status=False).select("input_ordinal", "num_moves", "num_positions")
-    texts = numbered_games(rows, counts=counts)
-    texts = texts.repartitionByRange(parts, "game_index") if parts else texts.repartitionByRange("game_index")
-    games = replay(texts, comments=comments, legal_moves=legal_moves).drop("movetext").cache()
-    return ParsedGames(games, comments, legal_moves)
+    ranges = stored(game_index_table(counts, sizes=True), "ranges")
+    total = ranges.agg(F.sum("num_positions")).first()[0] or 0
+    tasks = max(parts or 1, -(-total // TASK_POSITIONS))
+    texts = rows.join(ranges.drop("num_moves", "num_positions"), F.col("input_ordinal") == F.col("_ordinal")).drop("_ordinal")
+    place = F.least(F.floor(F.col("position_offset") * tasks / max(1, total)), F.lit(tasks - 1)).cast("int")
+    texts = texts.repartitionById(tasks, place).sortWithinPartitions("game_index").cache()
+    return ParsedGames(texts, ranges.drop("_ordinal"), parts, comments, legal_moves)
 
 
 def parse_games(data: DataFrame | pa.ChunkedArray | pa.Array, num_threads: int | None = None, chunk_multiplier: int | None = None, store_comments: bool = False, store_legal_moves: bool = False, column: str = "movetext") -> ParsedGames:

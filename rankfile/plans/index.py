@@ -28,12 +28,13 @@ def offsets(counts: DataFrame, order: str, **sums: str) -> DataFrame:
     return out.select(*counts.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
-def game_index_table(counts: DataFrame, ordinal: str = "input_ordinal") -> DataFrame:
+def game_index_table(counts: DataFrame, ordinal: str = "input_ordinal", sizes: bool = False) -> DataFrame:
     """(_ordinal, game_index, move_offset, position_offset): game_index is 0, 1, ... by ordinal over the rows that are
-    games. counts: ordinal, num_moves, num_positions; nothing wider takes part."""
+    games. counts: ordinal, num_moves, num_positions; nothing wider takes part. sizes: with both numbers, as longs."""
     narrow = counts.select(F.col(ordinal).alias("_ordinal"), F.lit(1).cast("long").alias("_one"), F.col("num_moves").cast("long").alias("_m"), F.col("num_positions").cast("long").alias("_p"))
     narrow = stored(narrow, "counts")  # a replay in `counts` runs once
-    return offsets(narrow, "_ordinal", game_index="_one", move_offset="_m", position_offset="_p").drop("_one", "_m", "_p")
+    out = offsets(narrow, "_ordinal", game_index="_one", move_offset="_m", position_offset="_p").drop("_one")
+    return out.withColumnsRenamed({"_m": "num_moves", "_p": "num_positions"}) if sizes else out.drop("_m", "_p")
 
 
 def numbered_games(rows: DataFrame, ordinal: str = "input_ordinal", counts: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 """What keeps large tables within the limits: equal texts are replayed once, rows are dealt into tasks of bounded size."""
 
+import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import functions as F
 
+import rankfile
+from rankfile import api
 from rankfile.operators import replay as replaying
 from rankfile.operators.generate import random_games
 from rankfile.operators.replay import LOCKSTEP, columns, legal_counts, read_batch, replay, replayed
@@ -60,3 +62,16 @@ def test_legal_moves_are_summed_without_a_shuffle_of_single_moves(spark):
     assert "Aggregate" not in plan and "hashpartitioning" not in plan
     none = pa.table(dict(legal_counts(read_batch(["1. f3 e5 2. g4 Qh4# 0-1"])[1])))["legal"].to_pylist()[0]
     assert [r["ply"] for r in none] == [0, 1, 2, 3]  # the mate has no legal move and no row
+
+
+def test_parsed_games_keep_texts_and_replay_in_tasks_of_bounded_size(spark, monkeypatch):
+    """However few chunks are asked for; boards are kept only on demand, and a lookup replays what it asks for."""
+    monkeypatch.setattr(api, "TASK_POSITIONS", 500)
+    texts = random_games(300, 20, seed=2)
+    with rankfile.parse_games_from_strings(texts, num_threads=2, store_legal_moves=True) as parsed:
+        plan = parsed.games._jdf.queryExecution().executedPlan().toString()
+        assert not parsed.games.is_cached and "InMemoryRelation" in plan and "positions" not in plan.split("InMemoryRelation")[1]
+        assert parsed.games.rdd.getNumPartitions() == -(-parsed.num_positions // 500) > 2
+        assert [c.num_games for c in parsed.chunks] == [150, 150] and [len(g) for g in parsed] == [len(g) for g in parsed[:]]
+        assert parsed.keep().games.is_cached
+    assert not parsed.games.is_cached
