@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .functions import game_over, uci_list
 from .operators.lex import read_game
-from .operators.replay import columns, replay
+from .operators.replay import columns, replay, replayed
 from .plans import game_index_table, legal_moves_table, move_to_game, moves_table, position_to_game, positions_table
 from .plans.tables import game_totals
 from .sources import from_arrow, from_strings, from_table
@@ -189,7 +191,7 @@ class ChunkView:
 class ParsedGames:
     """A result: DataFrames for work in Spark (games, positions, moves, legal_moves), and indexing as of a sequence.
 
-    Indexing, iteration and NumPy chunks bring rows to the caller; the DataFrames do not. What is kept
+    Indexing, iteration and NumPy chunks bring rows to the caller; the DataFrames and map_chunks() do not. What is kept
     are numbered texts (cached when first used) and counts (written once): boards are some hundred times as large, and
     are replayed from the texts that are asked for. keep() caches them where they are to be read often.
     """
@@ -273,6 +275,21 @@ class ParsedGames:
         view = lambda k, low, high: ChunkView(lambda: self._between(low, high).toArrow(), self.stored_comments, self.stored_legal, k)
         return [view(k, low, high) for k, (low, high) in enumerate(self._chunks or [(0, -1)])]
 
+    def map_chunks(self, function: Callable[[ChunkView], dict], schema: str) -> DataFrame:
+        """function(chunk), a row each, where the chunk is replayed: its arrays stay in the task. Chunks are runs of games
+        of one task and may be smaller than those of `chunks`; together they hold each game once."""
+        names = self._texts.columns
+        place, comments, legal = names.index("movetext"), self.stored_comments, self.stored_legal
+        make = lambda games: columns(games, True, comments, legal, True)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, batch in enumerate(replayed(batches, place, make)):
+                table = pa.Table.from_batches([batch])
+                yield pa.RecordBatch.from_pylist([function(ChunkView(lambda t=table: t, comments, legal, k))], schema=form)
+
+        form = to_arrow_schema(StructType.fromDDL(schema))
+        return self._texts.mapInArrow(run, schema)
+
     def _map(self, index: Iterable[int], lookup, name: str) -> np.ndarray:
         values = np.asarray(index).ravel().astype(np.int64)
         spark = self.games.sparkSession

@@ -206,18 +206,24 @@ def _parsed_openings(spark, sf_dir):
     return api.parse_games(_read(spark, sf_dir, "orders").select(F.concat(F.lit("1. "), a, b, F.lit(" "), c, d, F.lit(" "), end).alias("movetext")))
 
 
+def _chunk_sums(chunk: api.ChunkView) -> dict[str, int]:
+    weights = np.arange(1, 65, dtype=np.int64)
+    return {
+        name: int(value)
+        for name, value in (
+            ("games", chunk.num_games), ("from_sum", chunk.from_squares.sum(dtype="int64")), ("to_sum", chunk.to_squares.sum(dtype="int64")), ("promotion_sum", chunk.promotions.sum(dtype="int64")),
+            ("missing", np.isnan(chunk.clocks).sum() + np.isnan(chunk.evals).sum()), ("offset_gaps", (np.diff(chunk.move_offsets) - 2).sum() + (np.diff(chunk.position_offsets) - 3).sum()),
+            ("board_digest", (chunk.boards.reshape(-1, 64) @ weights).sum()), ("white_turns", chunk.turn.sum()), ("rights", chunk.castling.sum()), ("comments", len(chunk.comments)), ("replies", chunk.legal_move_count.astype("int64").min()),
+        )
+    }
+
+
 def chunk_arrays(spark, sf_dir):
-    """Totals of the result, and sums over the NumPy arrays of its chunks, one chunk after another."""
+    """Totals of the result, and sums over the NumPy arrays of its chunks, made where the chunks are replayed."""
+    names = ["games", "from_sum", "to_sum", "promotion_sum", "missing", "offset_gaps", "board_digest", "white_turns", "rights", "comments", "replies"]
     with _parsed_openings(spark, sf_dir) as parsed:
-        sums: dict[str, int] = {}
-        for chunk in parsed.chunks:
-            weights = np.arange(1, 65, dtype=np.int64)
-            for name, value in (
-                ("games", chunk.num_games), ("from_sum", chunk.from_squares.sum(dtype="int64")), ("to_sum", chunk.to_squares.sum(dtype="int64")), ("promotion_sum", chunk.promotions.sum(dtype="int64")),
-                ("missing", np.isnan(chunk.clocks).sum() + np.isnan(chunk.evals).sum()), ("offset_gaps", (np.diff(chunk.move_offsets) - 2).sum() + (np.diff(chunk.position_offsets) - 3).sum()),
-                ("board_digest", (chunk.boards.reshape(-1, 64) @ weights).sum()), ("white_turns", chunk.turn.sum()), ("rights", chunk.castling.sum()), ("comments", len(chunk.comments)), ("replies", chunk.legal_move_count.astype("int64").min()),
-            ):
-                sums[name] = min(sums.get(name, 99), int(value)) if name == "replies" else sums.get(name, 0) + int(value)
+        sums = parsed.map_chunks(_chunk_sums, ", ".join(f"{name} long" for name in names))
+        sums = sums.agg(*[(F.min if name == "replies" else F.sum)(name).alias(name) for name in names]).first().asDict()
         sums |= {"num_games": len(parsed), "num_moves": parsed.num_moves, "num_positions": parsed.num_positions}
         return spark.range(1).select(*[F.lit(v).cast("long").alias(name) for name, v in sums.items()])
 

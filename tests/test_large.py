@@ -75,3 +75,23 @@ def test_parsed_games_keep_texts_and_replay_in_tasks_of_bounded_size(spark, monk
         assert [c.num_games for c in parsed.chunks] == [150, 150] and [len(g) for g in parsed] == [len(g) for g in parsed[:]]
         assert parsed.keep().games.is_cached
     assert not parsed.games.is_cached
+
+
+def test_chunks_are_bounded_and_their_sums_are_made_in_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(api, "CHUNK_POSITIONS", 100)
+    monkeypatch.setattr(api, "TASK_POSITIONS", 700)
+    texts = random_games(200, 15, seed=4)
+    with rankfile.parse_games_from_strings(texts) as parsed:
+        chunks = parsed.chunks
+        assert len(chunks) == parsed.num_chunks == -(-parsed.num_positions // 100) and max(c.num_positions for c in chunks) < 100 + 16
+        assert np.concatenate([c.boards for c in chunks]).shape == (parsed.num_positions, 8, 8)
+        facts = lambda c: {"games": c.num_games, "squares": int(c.to_squares.sum(dtype="int64")), "pieces": int((c.boards > 0).sum())}
+        rows = parsed.map_chunks(facts, "games long, squares long, pieces long").collect()
+        assert len(rows) > 1
+        assert [sum(r[k] for r in rows) for k in range(3)] == [sum(facts(c)[name] for c in chunks) for name in ("games", "squares", "pieces")]
+
+    def refuse(self):
+        raise AssertionError("a chunk was fetched")
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", refuse)
+    assert chess.chunk_arrays(spark, SF).first()["games"] == spark.read.parquet(f"{SF}/orders.parquet").count()
