@@ -16,24 +16,20 @@ CLOCK = r"^\[%clk[ \t\n\f\r]+([0-9]+):([0-9]+):([0-9]+(?:\.[0-9]+)?)\]$"
 
 
 def _item(x: Column) -> Column:
-    def part(tag: str, pattern: str, k: int) -> Column:  # only a tag of that name is matched
-        return F.when(x.startswith(tag), F.nullif(F.regexp_extract(x, pattern, k), F.lit("")))
-
-    read = F.struct(
-        part("[%eval", MATE, 1).try_cast("int").alias("mate"), part("[%eval", EVAL, 1).cast("double").alias("eval"),
-        *[part("[%clk", CLOCK, k).alias(name) for k, name in ((1, "h"), (2, "m"), (3, "s"))],
-    )
-
-    def typed(p: Column) -> Column:
-        hours, minutes = p["h"].try_cast("long"), p["m"].try_cast("int")
-        timed = (hours < (1 << 32)) & (minutes < 256)
-        kind = F.when(p["mate"].isNotNull(), "mate").when(p["eval"].isNotNull(), "eval").when(timed, "clk").otherwise("text")
-        return F.struct(
-            kind.alias("kind"), F.when(kind == "text", x).alias("text"), p["eval"].alias("eval"), p["mate"].alias("mate"),
-            F.when(timed, hours).alias("hours"), F.when(timed, minutes).alias("minutes"), F.when(timed, p["s"].cast("double")).alias("seconds"),
-        )
-
-    return let(read, typed)
+    """Lambdas are interpreted, node by node and without common subexpressions: an item is matched only by the patterns
+    of its tag, each once, and text by none. A pattern that does not match gives an empty text, which casts to null."""
+    part = lambda pattern, k=1: F.regexp_extract(x, pattern, k)
+
+    def read(kind: str, **found: Column) -> Column:
+        types = (("text", "string"), ("eval", "double"), ("mate", "int"), ("hours", "bigint"), ("minutes", "int"), ("seconds", "double"))
+        return F.struct(F.lit(kind).alias("kind"), *[found.get(name, F.lit(None).cast(type_)).alias(name) for name, type_ in types])
+
+    text = read("text", text=x)
+    mate = let(part(MATE).try_cast("int"), lambda n: F.when(n.isNotNull(), read("mate", mate=n)).otherwise(text))
+    value = let(part(EVAL).try_cast("double"), lambda v: F.when(v.isNotNull(), read("eval", eval=v)).otherwise(text))
+    time = F.struct(part(CLOCK, 1).try_cast("bigint").alias("h"), part(CLOCK, 2).try_cast("int").alias("m"), part(CLOCK, 3).try_cast("double").alias("s"))
+    clock = let(time, lambda t: F.when((t["h"] < (1 << 32)) & (t["m"] < 256), read("clk", hours=t["h"], minutes=t["m"], seconds=t["s"])).otherwise(text))
+    return F.when(~x.startswith("[%"), text).when(x.startswith("[%eval"), F.when(x.contains("#"), mate).otherwise(value)).when(x.startswith("[%clk"), clock).otherwise(text)
 
 
 def annotation_items(comment: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import rankfile
 from rankfile import api
+from rankfile.functions import annotation_items
 from rankfile.operators import replay as replaying
 from rankfile.operators.generate import random_games
 from rankfile.operators.replay import LOCKSTEP, columns, legal_counts, read_batch, replay, replayed
@@ -95,3 +96,14 @@ def test_chunks_are_bounded_and_their_sums_are_made_in_the_tasks(spark, monkeypa
 
     monkeypatch.setattr(type(spark.range(1)), "toArrow", refuse)
     assert chess.chunk_arrays(spark, SF).first()["games"] == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_an_item_of_a_comment_is_matched_by_each_pattern_once(spark):
+    """Within lambdas an expression that is written twice runs twice: the prefix, and five parts of the tags' patterns."""
+    rows = spark.createDataFrame([("a [%eval 1.5] b",)], "c string")
+    plan = rows.select(annotation_items(F.col("c")).alias("items"))._jdf.queryExecution().optimizedPlan()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        assert plan.toString().count("regexp_extract(") == 6
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
